@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fuzzloom.llm.clusters import _NO_NAME, assign, cluster
 from fuzzloom.llm.cooccur import baskets, cooccurrence
+from fuzzloom.llm.tokenizer import decode, encode
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +51,17 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy(F.nullif(F.col("_g"), F.lit(_NO_NAME)).alias("dataset_id"), "cluster_no", "n", "lo", "hi").agg(typical.alias("typical_row_ids"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text, encoded and decoded again; null texts come back empty."""
+    return decode(p6_ids(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters}
+    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
 
 
 _ITEMS = """
@@ -72,6 +82,7 @@ pairs AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_decoded": "SELECT doc_id, coalesce(\"text\", '') AS \"text\" FROM documents",
         "p2_found": _ITEMS + "SELECT item_a, item_b FROM pairs WHERE n_both * 500 >= n_all AND n_both::HUGEINT * n_all >= 2 * n_a::HUGEINT * n_b",
         "p2_pairs": _ITEMS + "SELECT item_a, item_b, n_both, n_a, n_b, n_all, round(n_both::DOUBLE * n_all / n_a / n_b, 6) AS lift, round(log2(n_both::DOUBLE * n_all / n_a / n_b), 6) AS pmi FROM pairs",
     }
