@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fuzzloom.scratch import materialize
 
@@ -82,7 +83,8 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
-    return blocks.filter("word IS NOT NULL").select("block", "no", "word")
+    # A name of its own for the block, so that both sides can meet again.
+    return blocks.filter("word IS NOT NULL").select(F.col("block").alias("block"), "no", "word")
 
 
 def reassemble(blocks: DataFrame, results: DataFrame, build: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
