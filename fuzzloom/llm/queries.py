@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fuzzloom.llm.clusters import _NO_NAME, assign, cluster
 from fuzzloom.llm.cooccur import baskets, cooccurrence
+from fuzzloom.llm.leaks import leaks
 from fuzzloom.llm.reading import reading_levels
 from fuzzloom.llm.tokenizer import decode, encode
 
@@ -61,12 +62,22 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p6_ids(spark, sf_dir))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item that leaked, with the number of documents that hold a passage of it."""
+    found = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return _table(spark, sf_dir, "eval_items").select("item_id", "suite", "lang").distinct().join(found, "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 
 
 _ITEMS = """
