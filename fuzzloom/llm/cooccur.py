@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -59,8 +58,7 @@ def cooccurrence(written: DataFrame, least_share: tuple[int, int] | None = None)
         p, q = least_share
         single = materialize(single.filter(F.col("n").cast("decimal(38,0)") * q >= F.lit(n_all).cast("decimal(38,0)") * p), "marginals")
         often = [r.item for r in single.select("item").collect()]
-        listed = F.from_json(F.lit(json.dumps(often, ensure_ascii=False)), "array<string>")
-        kept = kept.select(F.array_intersect("items", listed).alias("items")).filter(F.size("items") > 1)
+        kept = kept.select(F.filter("items", lambda v: v.isin(often)).alias("items")).filter(F.size("items") > 1)
     else:
         single = materialize(single, "marginals")
     first = kept.select("items", F.posexplode("items").alias("i", "item_a"))
