@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column
@@ -109,20 +110,25 @@ class FuzzySet:
         top = low + max(self.values)
         return FuzzySet(tuple((v + low) / top if top else 0.0 for v in self.values), self.membership)
 
+    @cached_property
     def _mirrors(self) -> bool:
         """Values within 0 and 1 stand for sizes: a negative argument gives the negative of what its size is short of 1."""
         return all(0 <= v <= 1 for v in self.values)
 
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.values), np.array(self.membership)
+
     def array(self, v: np.ndarray) -> np.ndarray:
-        plain = np.interp(v, self.values, self.membership)
-        if not self._mirrors():
-            return plain
-        return np.where(v < 0, -(1 - np.interp(np.abs(v), self.values, self.membership)), plain)
+        if not self._mirrors:
+            return np.interp(v, *self._arrays)
+        m = np.interp(np.abs(v), *self._arrays)
+        return np.where(v < 0, m - 1, m)
 
     def column(self, v: Column) -> Column:
         """The same as nested conditions over the points, so it stays within generated code."""
         out = self._line(v)
-        return F.when(v < 0, -(1 - self._line(F.abs(v)))).otherwise(out) if self._mirrors() else out
+        return F.when(v < 0, -(1 - self._line(F.abs(v)))).otherwise(out) if self._mirrors else out
 
     def _line(self, v: Column) -> Column:
         x, y = self.values, self.membership

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet
 from fuzzloom.model import CognitiveMap, Settings
+from fuzzloom.scratch import spread
 
 
 @dataclass(frozen=True)
@@ -100,9 +101,13 @@ def trajectories(c: Compiled, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = np.where(np.full(len(x), need == 0), 1, 0)
     begin, streak = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     t = 0
-    while (count == 0).any():
+    # Rows leave as soon as they have all their states; what follows in their columns isn't theirs.
+    live = np.flatnonzero(count == 0)
+    while len(live):
         t += 1
-        old, new = states[-1], c.step(states[-1])
+        old = states[-1]
+        new = old.copy()
+        new[live] = c.step(old[live])
         states.append(new)
         if matrix:
             stable = np.abs(new.sum(axis=1) - old.sum(axis=1)) < s.stability_diff
@@ -114,11 +119,10 @@ def trajectories(c: Compiled, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count[ends] = begin[ends] + extra
         if matrix and t >= s.max_iter - 1:
             count[count == 0] = s.max_iter
+        live = live[(count[live] == 0) | (count[live] > t + 1)]
     if matrix:
         count = np.minimum(count, max(s.max_iter - 1, 1))
-    while len(states) < count.max(initial=1):
-        states.append(c.step(states[-1]))
-    return np.stack(states), count
+    return np.stack(states[: count.max(initial=1)]), count
 
 
 def decide(states: np.ndarray, count: np.ndarray, s: Settings) -> np.ndarray:
@@ -182,7 +186,7 @@ def infer(df: DataFrame, m: CognitiveMap, inputs: dict[str, str | Column], keep:
             cols = [pa.array(out[:, i], mask=np.isnan(out[:, i])) for i in range(len(at))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *cols], [*keep, *outputs.values()])
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def trace(df: DataFrame, m: CognitiveMap, inputs: dict[str, str | Column], keep: list[str]) -> DataFrame:
@@ -202,7 +206,7 @@ def trace(df: DataFrame, m: CognitiveMap, inputs: dict[str, str | Column], keep:
                 again = pa.array(row + part.start)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(again) for k in keep), names.take(pa.array(concept)), pa.array(step, pa.int32()), pa.array(states[step, row, concept])], [*keep, "concept", "step", "value"])
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def run_map(m: CognitiveMap) -> tuple[dict[str, float], dict[str, list[float]]]:

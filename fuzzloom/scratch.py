@@ -61,6 +61,17 @@ def release(df: DataFrame) -> None:
     fs.delete(jpath, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work in Python that takes far longer than moving its input.
+
+    A table of a few small files would be one task. Tables with enough partitions, as all large ones, and streams stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a written table: broadcast if its files are within ``limit``, else a shuffled join with salted keys.
 
