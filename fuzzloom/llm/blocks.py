@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.scratch import materialize
+from fuzzloom.scratch import materialize, spread
 
 #: A block ends with the document that brings it to so many characters.
 BLOCK_CHARS = 8_000_000
@@ -75,7 +75,7 @@ def cut(documents: DataFrame, splitter: Callable[[], Callable[[str], list[str]]]
                 yield _block(number, ids, rows, words, pieces)
                 number += 1
 
-    return materialize(documents.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA), label)
+    return materialize(spread(documents.select("doc_id", "text")).mapInArrow(run, BLOCK_SCHEMA), label)
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:

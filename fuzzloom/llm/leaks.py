@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fuzzloom.scratch import spread
+
 #: Words in a k-gram and k-grams in a window: any four shared words in a row are seen.
 K, WINDOW = 3, 2
 #: Shared words in a row; words of a stretch with changes; words for each change in it.
@@ -275,6 +277,6 @@ def leaks(documents: DataFrame, test_items: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + first)), pa.array(items.ids[item], pa.int32())], ["doc_id", "item_id"])
                         rows, first, size = [], i + 1, 0
 
-        part = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id int")
+        part = spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, item_id int")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
