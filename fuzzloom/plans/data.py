@@ -120,3 +120,55 @@ def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_rows": p4_rows}
+
+
+_NODES = """
+rec AS (SELECT rec_id, arg_min(map_id, received_at) AS map_id, min(received_at) AS ts, arg_min(fcm_json, received_at) AS t FROM fcm_records GROUP BY rec_id),
+js AS (SELECT rec_id, trim(map_id) AS map_id, ts, t::JSON AS j FROM rec WHERE t IS NOT NULL AND json_valid(t)),
+lists AS (
+  SELECT rec_id, map_id, ts, 'concept' AS child, CASE json_type(j, '$.concepts') WHEN 'ARRAY' THEN json_extract(j, '$.concepts[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.concepts')] END AS l FROM js WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT rec_id, map_id, ts, 'relation', CASE json_type(j, '$.relations') WHEN 'ARRAY' THEN json_extract(j, '$.relations[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.relations')] END FROM js WHERE json_type(j) = 'OBJECT'
+),
+entries AS (SELECT * FROM (SELECT rec_id, map_id, ts, child, unnest(l) AS e, (generate_subscripts(l, 1) - 1)::INT AS pos FROM lists) WHERE json_type(e) = 'OBJECT')
+"""
+_P1 = f"""WITH {_NODES},
+raw AS (SELECT rec_id, pos, CASE json_type(e, '$.custom_function_args') WHEN 'VARCHAR' THEN try_cast(e ->> '$.custom_function_args' AS JSON) ELSE e -> '$.custom_function_args' END AS a FROM entries WHERE child = 'concept'),
+named AS (
+  SELECT rec_id, pos, k AS name, json_extract(a, '$."' || k || '"') AS v FROM (SELECT rec_id, pos, a, unnest(json_keys(a)) AS k FROM raw WHERE json_type(a) = 'OBJECT')
+  UNION ALL SELECT rec_id, pos, x ->> '$.name', x -> '$.value' FROM (SELECT rec_id, pos, unnest(json_extract(a, '$[*]')) AS x FROM raw WHERE json_type(a) = 'ARRAY')
+)
+SELECT rec_id, child, pos, CASE child WHEN 'concept' THEN coalesce(trim(e ->> '$.id'), '') ELSE coalesce(trim(e ->> '$.origin'), '') || '>' || coalesce(trim(e ->> '$.destiny'), '') END AS label, 0::INT AS item_no FROM entries
+UNION ALL SELECT rec_id, 'arg', pos, name, unnest(range(CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v)::BIGINT ELSE 1 END))::INT FROM named"""
+_P3 = f"""WITH {_NODES},
+come AS (SELECT DISTINCT map_id, trim(e ->> '$.id') AS id, ts FROM entries WHERE child = 'concept' AND e ->> '$.id' IS NOT NULL),
+gone AS (SELECT DISTINCT trim(map_id) AS map_id, trim(concept_id) AS id, deleted_at AS ts FROM concept_deletions),
+ends AS (SELECT rec_id, map_id, ts, pos, n AS end_name, trim(e ->> ('$.' || n)) AS id FROM entries, (VALUES ('origin'), ('destiny')) v(n) WHERE child = 'relation' AND e ->> ('$.' || n) IS NOT NULL),
+seen AS (
+  SELECT x.rec_id, x.pos, x.end_name, x.map_id, x.id, x.ts, count(c.ts) AS ever, max(c.ts) FILTER (WHERE c.ts <= x.ts) AS last
+  FROM ends x LEFT JOIN come c ON c.map_id = x.map_id AND c.id = x.id GROUP BY ALL
+)
+SELECT rec_id, pos, end_name, CASE WHEN ever = 0 THEN 'missing' WHEN last IS NULL THEN 'late' ELSE 'deleted' END AS status FROM seen s
+WHERE ever = 0 OR last IS NULL OR EXISTS (SELECT 1 FROM gone g WHERE g.map_id = s.map_id AND g.id = s.id AND g.ts > last AND g.ts <= s.ts)"""
+# A separator is put before the line, so that every field, also an empty one, is matched with one.
+_P4 = r"""WITH once AS (SELECT line_id, any_value(file_id) AS file_id, rtrim(any_value(raw_line), chr(13)) AS r FROM csv_lines GROUP BY line_id),
+j AS (SELECT line_id, o.file_id, column_list, class_set, sep_char || r AS r, CASE sep_char WHEN '|' THEN '\|' ELSE sep_char END AS s FROM once o JOIN csv_files f ON f.file_id = o.file_id),
+f AS (SELECT *, '(?s)' || s || '("(?:[^"]|"")*"|[^"' || s || ']*)' AS field FROM j),
+g AS (SELECT *, regexp_full_match(r, '(?s)(?:' || s || '("(?:[^"]|"")*"|[^"' || s || ']*))+') AS ok, regexp_extract_all(r, field, 1) AS v FROM f),
+h AS (SELECT line_id, file_id, ok, column_list, class_set, list_transform(v, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM g),
+c AS (SELECT *, trim(v[list_position(column_list, 'class')], ' ' || chr(9) || chr(10) || chr(13)) AS class FROM h),
+judged AS (
+  SELECT *, CASE WHEN NOT ok THEN 'broken_quoting' WHEN len(v) <> len(column_list) THEN 'column_count'
+    WHEN NOT EXISTS (SELECT 1 FROM class_values k WHERE k.class_set = c.class_set AND k."class" = c.class) THEN 'invalid_value' END AS reason
+  FROM c
+)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    number = lambda n: f"try_cast(trim(v[list_position(column_list, '{n}')]) AS DOUBLE) AS {n.lower()}"
+    return {
+        "p1_found": _P1,
+        "p3_found": _P3,
+        "p4_found": _P4 + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+        "p4_rows": _P4 + f"SELECT line_id, file_id, v[list_position(column_list, 'F1')] AS f1, {number('F2')}, {number('F3')}, {number('F4')}, class FROM judged WHERE reason IS NULL",
+    }
