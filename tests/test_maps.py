@@ -4,10 +4,12 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet, defuzzify
+from fuzzloom.functions.decisions import DECIDERS
 from fuzzloom.model import CognitiveMap, Settings, from_json, to_json, vector
-from fuzzloom.operators.kernel import final_state, infer, is_stable, run_map, trace
+from fuzzloom.operators.kernel import decide, final_state, infer, is_stable, run_map, trace
 
 NAMES = ["result_1", "result_2", "input_1", "input_2", "input_3", "input_4", "input_5"]
 ARCS = [
@@ -155,3 +157,20 @@ def test_batches_agree_with_single_runs(spark):
 def test_fuzzy_set_scale():
     s = FuzzySet.of([5, 1, 3], [0.25, 1, 0.5]).scaled()
     assert s.membership == (1.0, 0.5, 0.25) and s.values == pytest.approx((1 / 3, 2 / 3, 1.0))
+
+
+def test_decisions_over_stored_states(spark):
+    rows = [(0, [0.5, 0.25, 0.75, 0.1, 0.2], p) for p in (-1, 0, 1, 2, 4)] + [(1, [0.5], -1)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, p int")
+    got = df.select("x", "p", *[f(F.col("x"), F.col("p")).alias(n) for n, f in DECIDERS.items()]).collect()
+    for r in got:
+        x, p = r.x, r.p
+        assert r.LAST == (x[p] if p > 0 else x[-1])
+        assert r.MEAN == pytest.approx(sum(x[: p + 1]) / (p + 1) if p > 0 else sum(x) / len(x))
+        assert r.EXITED == (None if p == 0 else max(x[:p]) if p > 0 else max(x))
+        states, count = np.array(x)[:, None, None], np.array([len(x)])
+        for name in DECIDERS:
+            s = Settings(decision=name, extra_steps=len(x) - 1 - p if p >= 0 and len(x) - 1 - p > 0 else 99)
+            if p < len(x) - 1:
+                v = decide(states, count, s)[0, 0]
+                assert (v != v and r[name] is None) or v == pytest.approx(r[name])

@@ -52,4 +52,4 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = set(__spark_entry__.queries())
     assert set(QUERIES) <= names and set(__spark_entry__.oracle_sql()) <= names
-    assert any(n.startswith("p2_") for n in names) == bool(importlib.util.find_spec("fuzzloom.llm"))
+    assert any(n.startswith("p2_") for n in names) == bool(importlib.util.find_spec("fuzzloom.llm") and importlib.util.find_spec("fuzzloom.llm.queries"))
