@@ -45,6 +45,9 @@ def as_text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+#: Nodes after which a task hands on what it has.
+EMITTED = 100_000
+
 NODE = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType()),
     T.StructField("pos", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType()),
@@ -125,20 +128,26 @@ def shred(records: DataFrame, keys: list[str], text: str, tables: dict[str, str]
     schema = T.StructType([*source.schema.fields[:-1], *NODE.fields])
     kinds = [("kind", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string())]
 
+    def emit(batch: pa.RecordBatch, took: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        index = pa.array(took, pa.int32())
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in keys), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True))], [*keys, *(k for k, _ in kinds)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             took: list[int] = []
             rows: list[tuple] = []
-            for i, value in enumerate(batch.column("_text").to_pylist()):
+            for i, value in enumerate(batch.column("_text")):
                 try:
-                    nodes = walk(parse(value), tables, fields, named)
+                    nodes = walk(parse(value.as_py()), tables, fields, named)
                 except ValueError:
                     continue
                 took.extend([i] * len(nodes))
                 rows.extend(nodes)
-            index = pa.array(took, pa.int32())
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in keys), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True))], [*keys, *(k for k, _ in kinds)])
+                if len(rows) >= EMITTED:
+                    yield emit(batch, took, rows)
+                    took, rows = [], []
+            yield emit(batch, took, rows)
 
     return source.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import duckdb
 
+from fuzzloom.operators import nested
 from fuzzloom.plans.data import p1_found
 
 SCHEMA = "rec_id long, map_id string, received_at timestamp_ntz, fcm_json string, child string, pos int"
@@ -72,5 +73,11 @@ def test_odd_records(spark, write):
     assert len([r for r in got if r[0] == 9]) == 3000
 
 
+def test_small_batches(spark, small, monkeypatch):
+    want = sorted(map(tuple, p1_found(spark, small).collect()))
+    monkeypatch.setattr(nested, "EMITTED", 1)
+    assert sorted(map(tuple, p1_found(spark, small).collect())) == want
+
+
 def test_empty(spark, write):
     assert p1_found(spark, write(fcm_records=(SCHEMA, []))).count() == 0
