@@ -95,9 +95,27 @@ pairs AS (
 )
 """
 
+#: By trying every gap of a dataset as the cut: quadratic in its records, for small tables.
+_CUTS = """
+WITH x AS (SELECT row_id, coalesce(any_value(dataset_id), chr(1)) AS ds, any_value(f2) AS v FROM learning_rows GROUP BY row_id),
+s AS (
+  SELECT *, v - lag(v) OVER (PARTITION BY ds ORDER BY v, row_id) AS g, count(*) OVER (PARTITION BY ds) AS n
+  FROM x WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)
+),
+t AS (SELECT ds, t, lead(t) OVER (PARTITION BY ds ORDER BY t) AS following, min(t) FILTER (WHERE t > 0) OVER (PARTITION BY ds) AS finest FROM (SELECT DISTINCT ds, coalesce(g, 0) AS t FROM s UNION SELECT DISTINCT ds, 0 FROM s)),
+a AS (SELECT s.ds, t, following, finest, n, v, sum((coalesce(g, 0) > t)::INT) OVER (PARTITION BY s.ds, t ORDER BY v, row_id) AS grp FROM s JOIN t ON s.ds = t.ds),
+b AS (SELECT ds, t, following, finest, n, grp, count(*) AS c, min(v) AS lo, max(v) AS hi FROM a GROUP BY ALL),
+k AS (SELECT ds, t, following, finest, n, max(hi - lo) FILTER (WHERE c >= 5) AS w, coalesce(sum(c) FILTER (WHERE c < 5), 0) AS strays FROM b GROUP BY ALL),
+good AS (SELECT ds, min(t) AS t FROM k WHERE strays <= greatest(2, 0.05 * n) AND following > w AND following >= 2 * greatest(w, coalesce(finest, 0)) GROUP BY ds),
+cut AS (SELECT k.ds, coalesce(any_value(good.t), max(k.t)) AS t FROM k LEFT JOIN good ON k.ds = good.ds GROUP BY k.ds),
+c AS (SELECT b.ds, lo, hi, (row_number() OVER (PARTITION BY b.ds ORDER BY lo) - 1)::INT AS cluster_no FROM b JOIN cut ON b.ds = cut.ds AND b.t = cut.t WHERE c >= 5)
+SELECT row_id, cluster_no FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _CUTS,
         "p6_decoded": "SELECT doc_id, coalesce(\"text\", '') AS \"text\" FROM documents",
         "p2_found": _ITEMS + "SELECT item_a, item_b FROM pairs WHERE n_both * 500 >= n_all AND n_both::HUGEINT * n_all >= 2 * n_a::HUGEINT * n_b",
         "p2_pairs": _ITEMS + "SELECT item_a, item_b, n_both, n_a, n_b, n_all, round(n_both::DOUBLE * n_all / n_a / n_b, 6) AS lift, round(log2(n_both::DOUBLE * n_all / n_a / n_b), 6) AS pmi FROM pairs",
