@@ -14,27 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuzzloom.functions.activations import FuzzySet
+from fuzzloom.scratch import materialize
 
 
 def pairs_of(cells: DataFrame) -> DataFrame:
     """(concept_p, concept_q, p_q, p_nq, np_q, np_nq) in both directions from (concept_p, concept_q, g, a, b, n)."""
     g, a, b, n = (F.col(c) for c in "gabn")
-    one = cells.select("concept_p", "concept_q", g.alias("p_q"), (a - g).alias("p_nq"), (b - g).alias("np_q"), (n - a - b + g).alias("np_nq"))
-    return one.unionByName(one.select(F.col("concept_q").alias("concept_p"), F.col("concept_p").alias("concept_q"), "p_q", F.col("np_q").alias("p_nq"), F.col("p_nq").alias("np_q"), "np_nq"))
+    side = lambda p, q, pn, nq: F.struct(F.col(p).alias("concept_p"), F.col(q).alias("concept_q"), g.alias("p_q"), pn.alias("p_nq"), nq.alias("np_q"), (n - a - b + g).alias("np_nq"))
+    # Both directions of a pair come from its one row, so what is below is made once.
+    return cells.select(F.inline(F.array(side("concept_p", "concept_q", a - g, b - g), side("concept_q", "concept_p", b - g, a - g))))
 
 
 def discrete_pair(df: DataFrame, left: str, right: str, separator: str = "___") -> DataFrame:
     """Counts of all pairs of values of two discrete columns, also of pairs that never meet.
 
-    Only the counts of the values move, never rows: the pairs of values are few against the rows. Null counts as no value.
+    The rows are read once, for the counts of the pairs that meet; these are written, being few against the rows, and the rest
+    comes from them. Null counts as no value.
     """
-    cell = df.groupBy(left, right).agg(F.count("*").cast("double").alias("g"))
+    cell = materialize(df.groupBy(left, right).agg(F.count("*").cast("double").alias("g")), "cells")
     margin = lambda c: cell.filter(F.col(c).isNotNull()).groupBy(c).agg(F.sum("g").alias("m"))
-    total = cell.agg(F.sum("g").alias("n"))
-    a, b = margin(left).select(F.col(left), F.col("m").alias("a")), margin(right).select(F.col(right), F.col("m").alias("b"))
+    every = margin(right).agg(F.collect_list(F.struct(F.col(right), F.col("m").alias("b")))).scalar()
+    total = cell.agg(F.coalesce(F.sum("g"), F.lit(0.0))).scalar()
     name = lambda c: F.concat(F.col(c).cast("string"), F.lit(separator + c))
-    filled = a.crossJoin(b).join(cell, [left, right], "left").crossJoin(total).fillna(0.0, ["g"])
-    return pairs_of(filled.select(name(left).alias("concept_p"), name(right).alias("concept_q"), "g", "a", "b", "n"))
+    filled = margin(left).select(left, F.col("m").alias("a"), F.inline(every)).join(cell, [left, right], "left").fillna(0.0, ["g"])
+    return pairs_of(filled.select(name(left).alias("concept_p"), name(right).alias("concept_q"), "g", "a", "b", total.alias("n")))
 
 
 Member = tuple[Column, FuzzySet | None]

@@ -74,12 +74,9 @@ def feature_types(df: DataFrame, columns: list[str], infer: bool = True) -> Data
 
 
 def discrete_concepts(df: DataFrame, columns: list[str], separator: str = "___") -> DataFrame:
-    """(feature, info, concept) of each distinct value, null not being one; features are done by one aggregate each over rows."""
-    out = None
-    for c in columns:
-        one = df.select(F.col(c).alias("v")).filter("v IS NOT NULL").distinct().select(F.lit(c).alias("feature"), F.col("v").cast("string").alias("info"), F.concat(F.col("v").cast("string"), F.lit(separator + c)).alias("concept"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(feature, info, concept) of each distinct value, null not being one; all columns in one pass."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("info")) for c in columns]))
+    return df.select(each).filter("info IS NOT NULL").distinct().select("feature", "info", F.concat("info", F.lit(separator), "feature").alias("concept"))
 
 
 def inner_relations(concepts: DataFrame, exclusion: float = -1.0) -> DataFrame:
@@ -117,9 +114,12 @@ def learn(df: DataFrame, features: list[str], targets: list[str], rules: Rules |
     columns = [*features, *[t for t in targets if t not in features]]
     types = {r.feature: r.kind for r in feature_types(df, columns, infer).collect()}
     concepts: list[FeatureConcept] = []
+    # A map has a concept for each value, so the values of its discrete features fit the driver by their nature.
+    known = [c for c in columns if types[c] == "discrete"]
+    value_sets = df.agg(*[F.collect_set(c).alias(c) for c in known]).first() if known else {}
     for c in columns:
         if types[c] == "discrete":
-            values = sorted((r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()), key=lambda v: (v,))
+            values = sorted(value_sets[c])
             concepts += [FeatureConcept(f"{v}{rules.separator}{c}", c, str(v), value=v) for v in values]
         else:
             sets = partition(distinct_values(df, c), strategy, max_clusters, seed=seed).sets()
