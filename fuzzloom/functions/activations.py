@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -119,10 +119,13 @@ class FuzzySet:
     def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.values), np.array(self.membership)
 
+    def _at(self, v: np.ndarray) -> np.ndarray:
+        return np.interp(v, *self._arrays)
+
     def array(self, v: np.ndarray) -> np.ndarray:
         if not self._mirrors:
-            return np.interp(v, *self._arrays)
-        m = np.interp(np.abs(v), *self._arrays)
+            return self._at(v)
+        m = self._at(np.abs(v))
         return np.where(v < 0, m - 1, m)
 
     def column(self, v: Column) -> Column:
@@ -146,6 +149,71 @@ class FuzzySet:
         return F.when(s < self.values[0], F.lit(min(self.membership))).when(s > self.values[-1], F.lit(max(self.membership))).otherwise(within)
 
 
+#: Points between neighbouring centres in the table of a ``ClusterSet``.
+_STEPS = 64
+_EPS = float(np.finfo(np.float64).eps)
+
+
+def memberships(x: np.ndarray, centre: np.ndarray, m: float) -> np.ndarray:
+    """Membership (clusters x values) that c-means gives at its centres. Distances are kept above the machine's epsilon."""
+    far = np.maximum(np.abs(centre[:, None] - x[None, :]), _EPS)
+    # The least distance of a column goes to 1, so that powers can't overflow.
+    u = (far / far.min(axis=0)) ** (-2 / (m - 1))
+    return u / u.sum(axis=0, keepdims=True)
+
+
+@dataclass(frozen=True)
+class ClusterSet(FuzzySet):
+    """Membership in the cluster ``index`` of c-means with fuzzifier ``m``, computed from the centres; constant outside the points.
+
+    The points are a table of it for whatever takes points only.
+    """
+
+    centres: tuple[float, ...] = ()
+    index: int = 0
+    m: float = 2.5
+
+    @staticmethod
+    def around(centres, index: int, low: float, high: float, m: float) -> ClusterSet:
+        """The set over values from low to high."""
+        ends = np.unique([low, *(c for c in map(float, centres) if low < c < high), high])
+        x = np.unique(np.concatenate([np.linspace(a, b, _STEPS + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+        u = memberships(x, np.asarray(centres, float), m)[index]
+        return ClusterSet(tuple(x.tolist()), tuple(u.tolist()), tuple(map(float, centres)), int(index), float(m))
+
+    def scaled(self) -> ClusterSet:
+        low = abs(min(self.values))
+        top = low + max(self.values)
+        return replace(self, values=super().scaled().values, centres=tuple((c + low) / top if top else 0.0 for c in self.centres))
+
+    def _at(self, v: np.ndarray) -> np.ndarray:
+        inside = np.clip(v, self.values[0], self.values[-1])
+        return memberships(inside.ravel(), np.array(self.centres), self.m)[self.index].reshape(inside.shape)
+
+    def _line(self, v: Column) -> Column:
+        inside = F.greatest(F.lit(self.values[0]), F.least(F.lit(self.values[-1]), v))
+        far = [F.greatest(F.abs(inside - c), F.lit(_EPS)) for c in self.centres]
+        parts = [F.pow(far[self.index] / d, F.lit(2 / (self.m - 1))) for d in far]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out + p
+        return F.when(v.isNotNull(), 1 / out)
+
+
+def fuzzy_set(args: dict) -> FuzzySet:
+    """The set of the arguments that ``set_args`` gives, or of points alone."""
+    if "centres" not in args:
+        return FuzzySet.of(args["val_list"], args["membership"])
+    points = FuzzySet.of(args["val_list"], args["membership"])
+    return ClusterSet(points.values, points.membership, tuple(map(float, args["centres"])), int(args["cluster"]), float(args["m"]))
+
+
+def set_args(s: FuzzySet) -> dict:
+    """Points of a set, and what it is computed from if it isn't points alone."""
+    more = {"centres": list(s.centres), "cluster": s.index, "m": s.m} if isinstance(s, ClusterSet) else {}
+    return {"membership": list(s.membership), "val_list": list(s.values), **more}
+
+
 def defuzzify(*_args) -> None:
     """There is no inverse of a fuzzy set that isn't monotone."""
     raise NotImplementedError("a fuzzy set has no inverse")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzloom.functions.activations import FuzzySet, activation
+from fuzzloom.functions.activations import FuzzySet, activation, fuzzy_set, set_args
 
 SIMPLE, DECISION, FUZZY, REGRESSOR, MULTI, MULTI_DESC = "SIMPLE", "DECISION", "FUZZY", "REGRESSOR", "MULTI", "MULTI_DESC"
 KINDS = (SIMPLE, DECISION, FUZZY, REGRESSOR, MULTI, MULTI_DESC)
@@ -215,7 +215,7 @@ def _properties(given: dict) -> dict:
     known = {k: v for k, v in given.items() if k in Concept.__dataclass_fields__ and k not in ("name", "args")}
     args = {k: v for k, v in given.items() if k not in known and k != "args"} | dict(given.get("args") or {})
     if known.get("fuzzy") is not None and not isinstance(known["fuzzy"], FuzzySet):
-        known["fuzzy"] = FuzzySet.of(known["fuzzy"]["val_list"], known["fuzzy"]["membership"])
+        known["fuzzy"] = fuzzy_set(known["fuzzy"])
     if args:
         known["args"] = _pairs(args)
     return known
@@ -240,7 +240,7 @@ def to_json(m: CognitiveMap) -> str:
         if c.excitation != "KOSKO":
             d["excitation_function"] = c.excitation
         if c.fuzzy is not None:
-            d |= {"custom_function": "fuzzy", "custom_function_args": {"membership": list(c.fuzzy.membership), "val_list": list(c.fuzzy.values)}}
+            d |= {"custom_function": "fuzzy", "custom_function_args": set_args(c.fuzzy)}
         elif c.activation is not None:
             d["custom_function"] = c.activation
             if c.args:
@@ -270,7 +270,7 @@ def from_json(text: str) -> CognitiveMap:
             points = c.get("activation_dict") or (args if name == "fuzzy" else None)
             m = m._put(Concept(
                 str(c["id"]), c.get("type") or SIMPLE, bool(c.get("is_active", c.get("active", True))), c.get("use_memory", c.get("memory_influence")), c.get("excitation_function") or "KOSKO",
-                None if points else name, () if points or not name else _pairs(args), FuzzySet.of(points["val_list"], points["membership"]) if points else None, float(c.get("activation") or 0.0),
+                None if points else name, () if points or not name else _pairs(args), fuzzy_set(points) if points else None, float(c.get("activation") or 0.0),
             ))
         for r in d.get("relations") or []:
             m = m.add_relation(str(r["origin"]), str(r["destiny"]), float(r["weight"]))

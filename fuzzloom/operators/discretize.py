@@ -1,35 +1,61 @@
 """Fuzzy partitions of a numeric feature: c-means over its distinct values, with the number of clusters estimated.
 
-Rows never reach these kernels, only the distinct values of a feature with at most ``LARGEST`` of them; beyond that values are
-binned to equal-width cells, which is stated by ``distinct_values``. All random starts take a seed.
+Rows never reach these kernels, only the distinct values of a feature. With at most ``LARGEST`` of them they come to the driver
+as they are; ``column_sets`` tells what is done with more. All random starts take a seed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.functions.activations import FuzzySet
+from fuzzloom.functions.activations import ClusterSet, FuzzySet, memberships
+from fuzzloom.operators.prefix import running
+from fuzzloom.scratch import materialize, release
 
-#: Distinct values that c-means takes. A feature with more is clustered by the means of so many equal-width cells.
+#: Distinct values that are clustered on the driver in any case, and cells that rl-cmeans takes at most.
 LARGEST = 4096
+#: Ranks of a curve that are looked at together.
+CHUNK = 1 << 20
+#: Fuzzifier of c-means.
+FUZZIFIER = 2.5
 #: Least number of distinct values of a continuous feature.
 FEWEST = 10
 EPS = float(np.finfo(np.float64).eps)
 STRATEGIES = ("cmeans-gap", "cmeans-sil", "cmeans-cfe", "rl-cmeans")
 
 
+def _distinct(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").distinct()
+
+
+def _sorted(x: DataFrame) -> np.ndarray:
+    return np.sort(x.toArrow().column("x").to_numpy())
+
+
+def _ranked(x: DataFrame) -> DataFrame:
+    """Distinct values, written, with their rank from 0."""
+    ranks = running(x.withColumn("one", F.lit(1).cast("long")), [], ["x"], {"r": ("sum", "one")})
+    return materialize(ranks.select("x", (F.col("r") - 1).alias("r")), "ranked")
+
+
 def distinct_values(df: DataFrame, column: str) -> np.ndarray:
-    """Rising distinct values of a column, without null and NaN; means of ``LARGEST`` equal cells if there are more."""
-    x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").distinct()
+    """Rising distinct values of a column, without null and NaN; if there are more than ``LARGEST``, means of so many cells.
+
+    Cells hold consecutive values and the same number of them, or one more, so each mean stands for as many as any other.
+    """
+    x = _distinct(df, column)
     few = [r.x for r in x.limit(LARGEST + 1).collect()]
     if len(few) > LARGEST:
-        low, high = x.agg(F.min("x"), F.max("x")).first()
-        cell = F.least(F.floor((F.col("x") - low) / ((high - low) / LARGEST)), F.lit(LARGEST - 1))
-        few = [r.m for r in x.groupBy(cell.alias("c")).agg(F.avg("x").alias("m")).collect()]
+        ranked = _ranked(x)
+        cell = F.floor(F.col("r") * LARGEST / ranked.count())
+        few = [r.m for r in ranked.groupBy(cell.alias("c")).agg(F.avg("x").alias("m")).collect()]
+        release(ranked)
     return np.sort(np.array(few, float))
 
 
@@ -37,7 +63,7 @@ def _columns(u: np.ndarray) -> np.ndarray:
     return u / u.sum(axis=0, keepdims=True)
 
 
-def cmeans(x: np.ndarray, clusters: int, m: float = 2.5, error: float = 1e-4, max_iter: int = 250, start: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def cmeans(x: np.ndarray, clusters: int, m: float = FUZZIFIER, error: float = 1e-4, max_iter: int = 250, start: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Membership (clusters x values) and centres.
 
     At most ``max_iter - 1`` steps, ending when the memberships move by less than ``error`` (Frobenius norm). Memberships and
@@ -49,9 +75,7 @@ def cmeans(x: np.ndarray, clusters: int, m: float = 2.5, error: float = 1e-4, ma
         old = np.maximum(_columns(u), EPS)
         power = old**m
         centre = power @ x / power.sum(axis=1)
-        far = np.maximum(np.abs(centre[:, None] - x[None, :]), EPS)
-        # The least distance of a column goes to 1, so that powers can't overflow.
-        u = _columns((far / far.min(axis=0)) ** (-2 / (m - 1)))
+        u = memberships(x, centre, m)
         if np.linalg.norm(u - old) < error:
             break
     return u, centre
@@ -66,17 +90,23 @@ def change_points(y: np.ndarray, most: int) -> list[int]:
 
     Two places apart from each other by less than 1/most of the curve count once; the last place is the curve's end.
     """
-    n = len(y)
-    steps = np.abs(np.diff(y)).tolist()
+    return _turns([np.abs(np.diff(y))], len(y), most)
+
+
+def _turns(chunks: Iterable[np.ndarray], n: int, most: int) -> list[int]:
+    """``change_points`` of a curve of n places from its steps, which come in pieces."""
     mean, steep = 0.0, False
     at: list[int] = []
-    for k, d in enumerate(steps):
-        if (d > mean and not steep) or (d < mean and steep):
-            steep = not steep
-            at.append(k)
-        if len(at) > 1 and k - at[-2] < n / most:
-            at.pop()
-        mean = (mean + d) / 2
+    k = -1
+    for chunk in chunks:
+        for d in chunk.tolist():
+            k += 1
+            if (d > mean and not steep) or (d < mean and steep):
+                steep = not steep
+                at.append(k)
+            if len(at) > 1 and k - at[-2] < n / most:
+                at.pop()
+            mean = (mean + d) / 2
     if len(at) > 1:
         if n - 1 - at[-1] < n / most:
             at.pop()
@@ -97,11 +127,17 @@ def gap_start(x: np.ndarray, most: int) -> tuple[int, np.ndarray | None]:
 
 
 def silhouette(x: np.ndarray, u: np.ndarray, alpha: float = 2.0) -> float:
-    """Fuzzy silhouette: how much farther, by membership, the second cluster is than the first, weighted by how sure the first is."""
+    """Fuzzy silhouette: how much farther, by membership, the second cluster is than the first, weighted by how sure the first is.
+
+    x rises.
+    """
     two = np.argsort(-u, axis=0, kind="stable")[:2]
     here = np.arange(len(x))
     weight = (u[two[0], here] - u[two[1], here]) ** alpha
-    mean = u @ np.abs(x[:, None] - x[None, :]) / max(len(x) - 1, 1)
+    # Distances to all values by membership, from running sums over the rising values.
+    z = x - x.mean()
+    below, moment = np.cumsum(u, axis=1), np.cumsum(u * z, axis=1)
+    mean = (z * (2 * below - below[:, -1:]) - (2 * moment - moment[:, -1:])) / max(len(x) - 1, 1)
     a, b = mean[two[0], here], mean[two[1], here]
     top = np.maximum(a, b)
     value = np.divide(b - a, top, out=np.zeros_like(top), where=top > 0)
@@ -225,3 +261,94 @@ def partition(x: np.ndarray, strategy: str = "cmeans-gap", most: int = 7, max_it
             if index > top:
                 top, best = index, u
     return Partition(*three_clusters(x)) if best is None else Partition(x, best)
+
+
+def _sums(values: DataFrame, of: Callable[..., np.ndarray], columns: list[str]) -> np.ndarray:
+    """Sum of ``of(*columns)``, a vector for each batch, over written values. Each task sends one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                got = of(*(batch.column(c).to_numpy() for c in columns))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    return np.sum([r.v for r in values.select(*columns).mapInArrow(run, "v array<double>").collect()], axis=0)
+
+
+def gap_centres(ranked: DataFrame, n: int, most: int) -> np.ndarray | None:
+    """Start centres by the change points of a polynomial through all of n ranked values, or None for fewer than two clusters.
+
+    The polynomial comes from its normal equations in Legendre's basis, which stay well conditioned over equal steps.
+    """
+    size = most + 1
+    basis = np.polynomial.legendre
+
+    def normal(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+        v = basis.legvander(2 * r / (n - 1) - 1, most)
+        return np.concatenate([(v.T @ v).ravel(), v.T @ x])
+
+    got = _sums(ranked, normal, ["x", "r"])
+    fit = np.linalg.solve(got[: size * size].reshape(size, size), got[size * size :])
+    curve = lambda r: basis.legval(2 * r / (n - 1) - 1, fit)
+    steps = (np.abs(np.diff(curve(np.arange(a, min(a + CHUNK, n - 1) + 1)))) for a in range(0, n - 1, CHUNK))
+    at = _turns(steps, n, most)
+    return curve(np.array(at[:-1] if len(at) > 2 else at)) if len(at) > 2 else None
+
+
+def cmeans_sums(values: DataFrame, start: np.ndarray, m: float = FUZZIFIER, error: float = 1e-4, max_iter: int = 250) -> np.ndarray:
+    """Centres of ``cmeans`` over all written values, in rising order of their clusters' mean, from sums for each cluster.
+
+    The memberships of a step follow from its centres (at first from the distances to ``start``), so no value keeps any.
+    """
+    c = len(start)
+
+    def step(before: np.ndarray | None, now: np.ndarray | None) -> np.ndarray:
+        """Sums for the next centres and for the clusters' means, and the squared move of the memberships."""
+
+        def of(x: np.ndarray) -> np.ndarray:
+            first = _columns(np.abs(start[:, None] - x[None, :])) if before is None else memberships(x, before, m)
+            old = np.maximum(first, EPS)
+            u = old if now is None else memberships(x, now, m)
+            power = np.maximum(u, EPS) ** m
+            return np.concatenate([power @ x, power.sum(axis=1), u @ x, u.sum(axis=1), [((u - old) ** 2).sum()]])
+
+        return _sums(values, of, ["x"])
+
+    got = step(None, None)
+    before, now = None, got[:c] / got[c : 2 * c]
+    for k in range(1, max_iter):
+        got = step(before, now)
+        if got[-1] < error**2 or k == max_iter - 1:
+            break
+        before, now = now, got[:c] / got[c : 2 * c]
+    return now[np.argsort(got[2 * c : 3 * c] / got[3 * c : 4 * c], kind="stable")]
+
+
+def column_sets(df: DataFrame, column: str, strategy: str = "cmeans-gap", most: int = 7, max_iter: int = 200, seed: int = 0) -> list[FuzzySet]:
+    """The sets of ``partition`` over the distinct values of a column, in rising order.
+
+    With more than ``LARGEST`` values cmeans-gap takes sums over all of them in Spark, and its sets are computed from the centres.
+    Clusters by rank, cmeans-sil and cmeans-cfe bring all distinct values to the driver. Only rl-cmeans, which is quadratic, takes
+    the cells of ``distinct_values``.
+    """
+    x = _distinct(df, column)
+    few = [r.x for r in x.limit(LARGEST + 1).collect()]
+    if len(few) <= LARGEST:
+        return partition(np.sort(np.array(few, float)), strategy, most, max_iter, seed).sets()
+    if strategy == "rl-cmeans":
+        return partition(distinct_values(df, column), strategy, most, max_iter, seed).sets()
+    if strategy != "cmeans-gap":
+        return partition(_sorted(x), strategy, most, max_iter, seed).sets()
+    ranked = _ranked(x)
+    n, low, high = ranked.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    start = gap_centres(ranked, n, min(most, n // 2))
+    if start is None:
+        sets = Partition(*three_clusters(_sorted(ranked))).sets()
+    else:
+        centres = cmeans_sums(ranked, start, max_iter=max_iter)
+        sets = [ClusterSet.around(centres, i, low, high, FUZZIFIER) for i in range(len(centres))]
+    release(ranked)
+    return sets

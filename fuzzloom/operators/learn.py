@@ -12,7 +12,7 @@ from fuzzloom.functions.activations import FuzzySet
 from fuzzloom.functions.measures import Measure, measure
 from fuzzloom.model import DECISION, FUZZY, REGRESSOR, SIMPLE, CognitiveMap, Settings
 from fuzzloom.operators.contingency import memberships_contingency
-from fuzzloom.operators.discretize import distinct_values, partition
+from fuzzloom.operators.discretize import column_sets
 
 #: Distinct values from which a numeric column is continuous.
 CONTINUOUS = 10
@@ -122,7 +122,7 @@ def learn(df: DataFrame, features: list[str], targets: list[str], rules: Rules |
             values = sorted(value_sets[c])
             concepts += [FeatureConcept(f"{v}{rules.separator}{c}", c, str(v), value=v) for v in values]
         else:
-            sets = partition(distinct_values(df, c), strategy, max_clusters, seed=seed).sets()
+            sets = column_sets(df, c, strategy, max_clusters, seed=seed)
             concepts += [FeatureConcept(f"{i}{rules.separator}{c}", c, str(i), fuzzy=s) for i, s in enumerate(sets)]
     m = CognitiveMap(settings)
     for k in concepts:

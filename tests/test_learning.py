@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuzzloom.estimator import MapEstimator
-from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet, inclination
+from fuzzloom.functions.activations import ACTIVATIONS, ClusterSet, FuzzySet, inclination
 from fuzzloom.functions.measures import MEASURES, measure
-from fuzzloom.model import CognitiveMap, Settings
+from fuzzloom.model import CognitiveMap, Settings, from_json, to_json
 from fuzzloom.operators import discretize as D
 from fuzzloom.operators.contingency import contingency_frame, discrete_pair, memberships_contingency
 from fuzzloom.operators.learn import Rules, feature_types, learn
@@ -137,6 +137,36 @@ def test_many_distinct_values(spark, monkeypatch):
     assert len(x) == 16 and np.all(np.diff(x) > 0) and x.mean() == pytest.approx(499.5, abs=1)
 
 
+@pytest.mark.parametrize("strategy", ["cmeans-gap", "cmeans-sil", "cmeans-cfe"])
+@pytest.mark.parametrize("shape", ["modes", "skewed"])
+def test_all_distinct_values_shape_the_sets(spark, monkeypatch, strategy, shape):
+    rng = np.random.default_rng(5)
+    x = np.unique(np.concatenate([rng.normal(m, 0.5, k) for m, k in ((0, 300), (10, 80), (40, 220))]) if shape == "modes" else rng.lognormal(5, 2, 600))
+    df = spark.createDataFrame([(float(v), "ab"[i % 2]) for i, v in enumerate(x)] * 2, "x double, class string")
+    want = D.partition(x, strategy).sets()
+    monkeypatch.setattr(D, "LARGEST", 64)
+    monkeypatch.setattr(D, "CHUNK", 100)
+    m = learn(df, ["x"], ["class"], Rules("conf"), strategy=strategy).map
+    got = [c.fuzzy for c in m.concepts if c.fuzzy]
+    assert len(got) == len(want) >= 2
+    for g, w in zip(got, want, strict=True):
+        assert g.array(x) == pytest.approx(w.array(x), abs=1e-6)
+    back = [c.fuzzy for c in from_json(to_json(m)).concepts if c.fuzzy]
+    assert back == got
+
+
+def test_set_from_centres_in_both_forms(spark):
+    for s in (ClusterSet.around([2.0, 30.0, 7.0], 1, -5.0, 40.0, 2.5), ClusterSet.around([0.2, 0.7], 0, 0.0, 1.0, 2.5)):
+        for one in (s, s.scaled()):
+            x = np.array([*one.values[::9], -0.4, 0.33, 100.0, -100.0])
+            rows = spark.createDataFrame([(float(v),) for v in x], "x double").select(one.column(F.col("x")).alias("m")).collect()
+            assert [r.m for r in rows] == pytest.approx(one.array(x), abs=1e-12)
+            assert np.array_equal(one.array(x[None, :]), one.array(x)[None, :])
+        x = np.array(s.values)
+        low = abs(x.min())
+        assert s.scaled()._at((x + low) / (low + x.max())) == pytest.approx(s._at(x), abs=1e-9)
+
+
 def three_maps():
     base = CognitiveMap().add_concept("concept_1").add_concept("concept_2", kind="DECISION", activation="gceq", weight=0.3)
     one = base.init_concept("concept_1", 0.25).add_relation("concept_1", "concept_2", 0.25)
