@@ -61,7 +61,8 @@ def walk(root, tables: dict[str, str], fields: dict[str, list[str]], named: dict
     the entry 0. Positions count null and stray entries, which give no row.
     fields: kind -> members of the entry that are given as nodes of kind ``kind.member``, with their text as value.
     named: ``kind.member`` -> kind of the named values in it. The member may be an object, a list of objects with ``name`` and
-    ``value``, or a text with either. An array value has a node of kind ``<kind>_item`` for each element.
+    ``value``, or a text with either. An array value is a node of kind ``<kind>_list`` with one of kind ``<kind>_item`` for each
+    element.
     """
     out: list[tuple] = []
     clock = 0
@@ -103,7 +104,7 @@ def walk(root, tables: dict[str, str], fields: dict[str, list[str]], named: dict
                 if isinstance(value, list):
                     for i, element in enumerate(value):
                         leaf(f"{inner}_item", i, name, element)
-                out[mine] = (inner, begin, enter(), k, name, "[]" if isinstance(value, list) else as_text(value))
+                out[mine] = (f"{inner}_list", begin, enter(), k, name, None) if isinstance(value, list) else (inner, begin, enter(), k, name, as_text(value))
         out[slot] = (kind, at, enter(), pos, None, None)
 
     if isinstance(root, dict):

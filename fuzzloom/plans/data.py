@@ -38,7 +38,7 @@ def children(nodes: DataFrame, keys: list[str]) -> DataFrame:
     Columns: ``keys``, child, pos, label, item_no. Labels of concepts and relations come from the nodes of their members, which
     are inside the entry's interval.
     """
-    linked = nodes.select(*keys, "kind", "pre", "post", "name", "value", "pos", within(nodes, keys, "concept", ["pos"]).alias("c"), within(nodes, keys, "relation", ["pos"]).alias("r"), within(nodes, keys, "arg", ["pre"]).alias("a"))
+    linked = nodes.select(*keys, "kind", "pre", "post", "name", "value", "pos", within(nodes, keys, "concept", ["pos"]).alias("c"), within(nodes, keys, "relation", ["pos"]).alias("r"), within(nodes, keys, "arg_list", ["pre"]).alias("a"))
     part = F.when(F.col("kind").startswith("concept"), "concept").when(F.col("kind").startswith("relation"), "relation")
     text = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("value"))), F.lit(""))
     heads = (
@@ -47,8 +47,8 @@ def children(nodes: DataFrame, keys: list[str]) -> DataFrame:
         .agg(text("concept.id").alias("id"), text("relation.origin").alias("origin"), text("relation.destiny").alias("destiny"))
         .select(*keys, "child", "pos", F.when(F.col("child") == "concept", F.col("id")).otherwise(F.concat("origin", F.lit(">"), "destiny")).alias("label"), F.lit(0).alias("item_no"))
     )
-    # An element's number is its place after the argument's own node: nodes are entered in order, two ticks each.
-    args = linked.filter((F.col("kind") == "arg_item") | ((F.col("kind") == "arg") & ~F.col("value").eqNullSafe("[]"))).select(
+    # An element's number is its place after its array's own node: nodes are entered in order, two ticks each.
+    args = linked.filter(F.col("kind").isin("arg", "arg_item")).select(
         *keys, F.lit("arg").alias("child"), F.col("c.pos").alias("pos"), F.coalesce("name", F.lit("")).alias("label"),
         F.when(F.col("kind") == "arg", 0).otherwise(((F.col("pre") - F.col("a.pre") - 1) / 2).cast("int")).alias("item_no"),
     )

@@ -73,6 +73,12 @@ def test_odd_records(spark, write):
     assert len([r for r in got if r[0] == 9]) == 3000
 
 
+def test_text_that_looks_like_an_empty_array(spark, write):
+    js = '{"concepts": [{"id": "x", "custom_function_args": {"s": " [] ", "e": [], "l": ["[]", 1]}}]}'
+    got = sorted(tuple(r) for r in p1_found(spark, write(fcm_records=(SCHEMA, [(1, "m", datetime(2024, 1, 1), js, None, None)]))).collect())
+    assert got == [(1, "arg", 0, "l", 0), (1, "arg", 0, "l", 1), (1, "arg", 0, "s", 0), (1, "concept", 0, "x", 0)]
+
+
 def test_small_batches(spark, small, monkeypatch):
     want = sorted(map(tuple, p1_found(spark, small).collect()))
     monkeypatch.setattr(nested, "EMITTED", 1)
