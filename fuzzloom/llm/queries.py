@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.clusters import _NO_NAME, assign, cluster
+from fuzzloom.llm.clusters import _NO_NAME, cluster
 from fuzzloom.llm.cooccur import baskets, cooccurrence
 from fuzzloom.llm.leaks import leaks
 from fuzzloom.llm.reading import reading_levels
 from fuzzloom.llm.tokenizer import decode, encode
+from fuzzloom.scratch import join_small
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +40,19 @@ def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(*_clusters(spark, sf_dir)).select(F.col("_k").alias("row_id"), "cluster_no")
+    return _clusters(spark, sf_dir)[0].select(F.col("_k").alias("row_id"), "cluster_no")
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cluster's size, range and its three most typical records: those nearest to its mean (ties: the lower row_id)."""
-    rows, found = _clusters(spark, sf_dir)
-    members = assign(rows, found)
-    mean = members.groupBy("_g", "cluster_no").agg(F.avg("_v").alias("mean"))
-    far = F.abs(F.col("_v") - F.col("mean"))
-    ranked = members.join(mean, ["_g", "cluster_no"]).select("*", F.row_number().over(Window.partitionBy("_g", "cluster_no").orderBy(far, "_k")).alias("rank")).filter("rank <= 3")
+    """Each cluster's size, range and its three most typical records: the medoid by squared distances and those after it.
+
+    The squared distances of a value to all members add up to the least for the member nearest to their mean (ties: the lower
+    row_id).
+    """
+    members, found = _clusters(spark, sf_dir)
+    far = F.round(F.abs(F.col("_v") - F.col("mean")), 6)
+    joined = join_small(members, found, ["ds", "cluster_no"])
+    ranked = joined.select("*", F.row_number().over(Window.partitionBy("ds", "cluster_no").orderBy(far, "_k")).alias("rank")).filter("rank <= 3")
     typical = F.transform(F.array_sort(F.collect_list(F.struct("rank", "_k"))), lambda s: s["_k"])
     return ranked.groupBy(F.nullif(F.col("_g"), F.lit(_NO_NAME)).alias("dataset_id"), "cluster_no", "n", "lo", "hi").agg(typical.alias("typical_row_ids"))
 
@@ -105,17 +109,19 @@ s AS (
 t AS (SELECT ds, t, lead(t) OVER (PARTITION BY ds ORDER BY t) AS following, min(t) FILTER (WHERE t > 0) OVER (PARTITION BY ds) AS finest FROM (SELECT DISTINCT ds, coalesce(g, 0) AS t FROM s UNION SELECT DISTINCT ds, 0 FROM s)),
 a AS (SELECT s.ds, t, following, finest, n, v, sum((coalesce(g, 0) > t)::INT) OVER (PARTITION BY s.ds, t ORDER BY v, row_id) AS grp FROM s JOIN t ON s.ds = t.ds),
 b AS (SELECT ds, t, following, finest, n, grp, count(*) AS c, min(v) AS lo, max(v) AS hi FROM a GROUP BY ALL),
-k AS (SELECT ds, t, following, finest, n, max(hi - lo) FILTER (WHERE c >= 5) AS w, coalesce(sum(c) FILTER (WHERE c < 5), 0) AS strays FROM b GROUP BY ALL),
-good AS (SELECT ds, min(t) AS t FROM k WHERE strays <= greatest(2, 0.05 * n) AND following > w AND following >= 2 * greatest(w, coalesce(finest, 0)) GROUP BY ds),
+k AS (SELECT ds, t, following, finest, max(hi - lo) FILTER (WHERE c >= 5) AS w, min(c) FILTER (WHERE c >= 5) AS smallest, coalesce(sum(c) FILTER (WHERE c < 5), 0) AS strays FROM b GROUP BY ALL),
+good AS (SELECT ds, min(t) AS t FROM k WHERE strays < smallest AND following > w + coalesce(finest, 0) GROUP BY ds),
 cut AS (SELECT k.ds, coalesce(any_value(good.t), max(k.t)) AS t FROM k LEFT JOIN good ON k.ds = good.ds GROUP BY k.ds),
-c AS (SELECT b.ds, lo, hi, (row_number() OVER (PARTITION BY b.ds ORDER BY lo) - 1)::INT AS cluster_no FROM b JOIN cut ON b.ds = cut.ds AND b.t = cut.t WHERE c >= 5)
-SELECT row_id, cluster_no FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi
+c AS (SELECT b.ds, lo, hi, c AS n, (row_number() OVER (PARTITION BY b.ds ORDER BY lo) - 1)::INT AS cluster_no FROM b JOIN cut ON b.ds = cut.ds AND b.t = cut.t WHERE c >= 5)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p5_found": _CUTS,
+        "p5_found": _CUTS + "SELECT row_id, cluster_no FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi",
+        "p5_clusters": _CUTS + """, m AS (SELECT s.ds, cluster_no, c.n, lo, hi, row_id, v, avg(v) OVER (PARTITION BY s.ds, cluster_no) AS mean FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi),
+r AS (SELECT *, row_number() OVER (PARTITION BY ds, cluster_no ORDER BY round(abs(v - mean), 6), row_id) AS k FROM m)
+SELECT nullif(ds, chr(1)) AS dataset_id, cluster_no, n, lo, hi, list(row_id ORDER BY k) AS typical_row_ids FROM r WHERE k <= 3 GROUP BY ALL""",
         "p6_decoded": "SELECT doc_id, coalesce(\"text\", '') AS \"text\" FROM documents",
         "p2_found": _ITEMS + "SELECT item_a, item_b FROM pairs WHERE n_both * 500 >= n_all AND n_both::HUGEINT * n_all >= 2 * n_a::HUGEINT * n_b",
         "p2_pairs": _ITEMS + "SELECT item_a, item_b, n_both, n_a, n_b, n_all, round(n_both::DOUBLE * n_all / n_a / n_b, 6) AS lift, round(log2(n_both::DOUBLE * n_all / n_a / n_b), 6) AS pmi FROM pairs",
