@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuzzloom.operators.prefix import running
-from fuzzloom.scratch import materialize
+from fuzzloom.scratch import materialize, release
 
 #: The time of a record whose arrival is unknown: after all others.
 NEVER = "9999-12-31 00:00:00"
@@ -18,33 +20,40 @@ def _at(col: str):
     return F.coalesce(F.col(col).cast("timestamp_ntz"), F.lit(NEVER).cast("timestamp_ntz"))
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on ``keys`` in which null equals null; the right side's keys go."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same: Column = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def status_at(refs: DataFrame, present: DataFrame, deleted: DataFrame, keys: list[str], ref_id: list[str], at: str) -> DataFrame:
     """Direct orphans among ``refs`` (columns ``keys``, ``ref_id``, ``at``), with a ``status``.
 
     present: ``keys``, ``at`` of each arrival of a key; deleted: ``keys``, ``at`` of each deletion. A reference at time T is
     ``missing`` if its key never arrives, ``late`` if it arrives only after T, ``deleted`` if a deletion lies after the last
     arrival at or before T and not after T. Others give no row. Repeated arrivals and deletions change nothing. A null key is a
-    value like others; a null time counts as after all others. Empty tables are allowed everywhere.
+    value like others; a null time counts as after all others. Empty tables are allowed everywhere. Tables are read more than
+    once, so they should be written ones.
 
-    One scan over arrivals, deletions and references in the order of key and time, cut into ranges (``running``), so a key
-    with a third of all rows is no task of its own. Only references without an earlier arrival are looked up again.
+    Missing and late references come from one join with the first arrival of each key, which is one row for each key. Only keys
+    with a deletion are scanned in the order of time, cut into ranges (``running``), so none is a task of its own.
     """
-    arrivals = present.select(*keys, _at(at).alias("_t")).distinct()
-    removals = deleted.select(*keys, _at(at).alias("_t")).distinct()
+    asked = refs.select(*keys, *ref_id, _at(at).alias("_t"))
+    arrivals = present.select(*keys, _at(at).alias("_t"))
+    firsts = arrivals.groupBy(*keys).agg(F.min("_t").alias("_first"))
+    joined = _matched(asked, firsts, keys, "left").filter("_first IS NULL OR _first > _t")
+    absent = joined.withColumn("status", F.when(F.col("_first").isNull(), "missing").otherwise("late"))
+    removals = materialize(deleted.select(*keys, _at(at).alias("_t")).distinct(), "removals")
+    some = removals.select(*keys).distinct()
     none = F.lit(None).cast("timestamp_ntz")
     events = (
-        arrivals.select(*keys, "_t", F.lit(0).alias("_kind"), F.col("_t").alias("_in"), none.alias("_out"))
+        _matched(arrivals.distinct(), some, keys, "left_semi").select(*keys, "_t", F.lit(0).alias("_kind"), F.col("_t").alias("_in"), none.alias("_out"))
         .unionByName(removals.select(*keys, "_t", F.lit(1).alias("_kind"), none.alias("_in"), F.col("_t").alias("_out")))
-        .unionByName(refs.select(*keys, _at(at).alias("_t"), F.lit(2).alias("_kind"), none.alias("_in"), none.alias("_out"), *ref_id), allowMissingColumns=True)
+        .unionByName(_matched(asked, some, keys, "left_semi").select(*keys, "_t", F.lit(2).alias("_kind"), none.alias("_in"), none.alias("_out"), *ref_id), allowMissingColumns=True)
     )
-    seen = running(events, keys, ["_t", "_kind", *ref_id], {"_last_in": ("max", "_in"), "_last_out": ("max", "_out")}).filter("_kind = 2")
-    gone = seen.filter("_last_out > _last_in").withColumn("status", F.lit("deleted"))
-    ever = arrivals.select(*[F.col(k).alias(f"_e_{k}") for k in keys]).distinct()
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
-    lost = seen.filter("_last_in IS NULL")
-    absent = lost.join(ever.withColumn("_ever", F.lit(True)), same, "left").withColumn("status", F.when(F.col("_ever"), "late").otherwise("missing"))
+    seen = running(events, keys, ["_t", "_kind", *ref_id], {"_last_in": ("max", "_in"), "_last_out": ("max", "_out")})
+    gone = seen.filter("_kind = 2 AND _last_out > _last_in").withColumn("status", F.lit("deleted"))
     out = [*keys, *ref_id, F.col("_t").alias(at), "status"]
     return gone.select(*out).unionByName(absent.select(*out))
 
@@ -59,47 +68,75 @@ class ForeignKey:
     parent_cols: tuple[str, ...]
 
 
-def cascade(tables: dict[str, tuple[DataFrame, list[str]]], keys: list[ForeignKey], direct: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Orphans of each table, direct and inherited: name -> rows (identifying columns, ``origin`` direct or inherited, ``depth``).
+@dataclass
+class Cascade:
+    """Orphans of each table, direct and inherited, as the fixpoint of semi-joins down the foreign keys.
 
-    tables: name -> (rows, identifying columns). direct: tables whose direct orphans are known already (their identifying
-    columns); for the others a row is a direct orphan if one of its references has no parent row. Then rows that refer to an
-    orphan found in the round before become inherited orphans, round by round by semi-joins down the foreign keys, until a round
-    finds none; cycles end since a row is found once. Each round's orphans are written, so plans don't grow; the rounds are as
-    many as the longest chain of orphans.
+    tables: name -> (rows, identifying columns). References whose parents come and go are judged before, by ``status_at``: known
+    has the direct orphans of a table, with any further columns. In other tables a row is a direct orphan if one of its
+    references has no parent row.
+
+    ``direct`` is round 0. ``found`` goes on: rows that refer to an orphan of the round before become inherited orphans, until a
+    round finds none; cycles end since a row is found once. Each table's keys are written once, without its other columns; a round
+    reads them and what the round before has found, and a broken key is followed once. The rounds are as many as the longest
+    chain of orphans.
     """
-    rows = {name: df for name, (df, _) in tables.items()}
-    ids = {name: cols for name, (_, cols) in tables.items()}
-    found: dict[str, DataFrame] = {}
-    for name in tables:
-        if direct and name in direct:
-            first = direct[name].select(*ids[name]).distinct()
-        else:
-            first = None
-            for fk in (k for k in keys if k.child == name):
-                there = rows[fk.parent].select(*[F.col(p).alias(c) for p, c in zip(fk.parent_cols, fk.child_cols, strict=True)]).distinct()
-                bad = rows[name].dropna(subset=list(fk.child_cols)).join(there, list(fk.child_cols), "left_anti").select(*ids[name])
-                first = bad if first is None else first.unionByName(bad)
-            first = first.distinct() if first is not None else rows[name].select(*ids[name]).limit(0)
-        found[name] = materialize(first.withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)), f"orphans-{name}")
-    new = dict(found)
-    depth = 0
-    while new:
-        depth += 1
-        step: dict[str, DataFrame] = {}
-        for name in tables:
-            hit = None
-            for fk in (k for k in keys if k.child == name and k.parent in new):
-                broken = rows[fk.parent].join(new[fk.parent].select(*ids[fk.parent]), ids[fk.parent], "left_semi")
-                broken = broken.select(*[F.col(p).alias(c) for p, c in zip(fk.parent_cols, fk.child_cols, strict=True)]).distinct()
-                more = rows[name].join(broken, list(fk.child_cols), "left_semi").select(*ids[name])
-                hit = more if hit is None else hit.unionByName(more)
-            if hit is None:
-                continue
-            fresh = hit.distinct().join(found[name].select(*ids[name]), ids[name], "left_anti")
-            fresh = materialize(fresh.withColumn("origin", F.lit("inherited")).withColumn("depth", F.lit(depth)), f"orphans-{name}-{depth}")
-            if not fresh.isEmpty():
-                step[name] = fresh
-                found[name] = found[name].unionByName(fresh)
-        new = step
-    return found
+
+    tables: dict[str, tuple[DataFrame, list[str]]]
+    keys: list[ForeignKey]
+    known: dict[str, DataFrame] = field(default_factory=dict)
+
+    def direct(self, name: str) -> DataFrame:
+        """Direct orphans of a table: its identifying columns, or the rows of ``known``."""
+        if name in self.known:
+            return self.known[name]
+        rows, ids = self.tables[name]
+        parts = []
+        for fk in (k for k in self.keys if k.child == name):
+            there = self.tables[fk.parent][0].select(*[F.col(p).alias(c) for p, c in zip(fk.parent_cols, fk.child_cols, strict=True)]).distinct()
+            parts.append(rows.dropna(subset=list(fk.child_cols)).join(there, list(fk.child_cols), "left_anti").select(*ids))
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else rows.select(*ids).limit(0)
+
+    def found(self) -> dict[str, DataFrame]:
+        """name -> written rows (identifying columns, ``origin`` direct or inherited, ``depth``)."""
+        ids = {name: cols for name, (_, cols) in self.tables.items()}
+        rounds = {name: [materialize(self.direct(name).select(*ids[name]).distinct().withColumn("depth", F.lit(0)), f"orphans-{name}")] for name in self.tables}
+        ends = {}
+        for i, fk in enumerate(self.keys):
+            names = [f"_k{j}" for j in range(len(fk.child_cols))]
+            side = lambda table, cols, names=names: self.tables[table][0].dropna(subset=list(cols)).select(*ids[table], *[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
+            ends[i] = (names, materialize(side(fk.parent, fk.parent_cols), "parents"), materialize(side(fk.child, fk.child_cols), "children"))
+        followed: dict[int, DataFrame] = {}
+        new = {name: r[0] for name, r in rounds.items()}
+        depth = 0
+        while new:
+            depth += 1
+            hits: dict[str, list[DataFrame]] = {}
+            for i, fk in enumerate(self.keys):
+                if fk.parent not in new:
+                    continue
+                names, parents, children = ends[i]
+                broken = parents.join(new[fk.parent].select(*ids[fk.parent]), ids[fk.parent], "left_semi").select(*names).distinct()
+                if i in followed:
+                    broken = broken.join(followed[i], names, "left_anti")
+                broken = materialize(broken, "broken")
+                followed[i] = followed[i].unionByName(broken) if i in followed else broken
+                hits.setdefault(fk.child, []).append(children.join(broken, names, "left_semi").select(*ids[fk.child]))
+            new = {}
+            for name, parts in hits.items():
+                fresh = reduce(DataFrame.unionByName, parts).distinct()
+                before = reduce(DataFrame.unionByName, rounds[name]).select(*ids[name])
+                fresh = materialize(fresh.join(before, ids[name], "left_anti").withColumn("depth", F.lit(depth)), f"orphans-{name}-{depth}")
+                if not fresh.isEmpty():
+                    rounds[name].append(fresh)
+                    new[name] = fresh
+        out = {}
+        for name, parts in rounds.items():
+            origin = F.when(F.col("depth") == 0, "direct").otherwise("inherited")
+            out[name] = materialize(reduce(DataFrame.unionByName, parts).select(*ids[name], origin.alias("origin"), "depth"), f"orphans-{name}-all")
+            for p in parts:
+                release(p)
+        for _, parents, children in ends.values():
+            release(parents)
+            release(children)
+        return out

@@ -4,7 +4,7 @@ from datetime import datetime
 import duckdb
 
 from fuzzloom.operators import nested
-from fuzzloom.plans.data import p1_found
+from fuzzloom.plans.data import p1_found, p1_intervals
 
 SCHEMA = "rec_id long, map_id string, received_at timestamp_ntz, fcm_json string, child string, pos int"
 
@@ -87,3 +87,42 @@ def test_small_batches(spark, small, monkeypatch):
 
 def test_empty(spark, write):
     assert p1_found(spark, write(fcm_records=(SCHEMA, []))).count() == 0
+
+
+def test_any_depth(spark, write):
+    """A record nested beyond the interpreter's recursion keeps its concepts, and broken ones of that depth are broken."""
+    deep = "[" * 60_000 + "1.50" + "]" * 60_000
+    good = '{"x": ' + deep + ', "concepts": [{"id": ' + '{"a": ' * 20_000 + '[1, "t\\u00e9", null, true, {}]' + "}" * 20_000 + '}, {"id": "b"}]}'
+    rows = [(1, "m", datetime(2024, 1, 1), good, None, None), (2, "m", datetime(2024, 1, 1), good[:-1], None, None), (3, "m", datetime(2024, 1, 1), good + "]", None, None)]
+    got = sorted(tuple(r) for r in p1_found(spark, write(fcm_records=(SCHEMA, rows))).collect())
+    assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 1)] and got[0][3].endswith('[1, "té", null, true, {}]' + "}" * 20_000)
+
+
+def test_parse_without_recursion():
+    texts = ['{"a": [1, 2.50, -3e4], "b": {"c": [], "d": {}}, "a": "x\\n"}', "[]", "3", '"s"', " [ null , true,false ] ", "[1,]", "[1 2]", "{1: 2}", '{"a" 1}', "", "[", '{"a":', "nul", "[01]", "1 1", "{,}", '["a\nb"]']
+    for text in texts:
+        try:
+            want = json.loads(text, parse_int=nested._Number, parse_float=nested._Number)
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested._parse_deep(text.strip())
+        except ValueError:
+            got = ValueError
+        assert got == want, text
+    assert nested.as_text(nested.parse('{"a": [1, 2.50], "b": "é"}')) == '{"a": [1, 2.50], "b": "é"}' and nested.as_text(nested.parse("[]")) == "[]"
+
+
+def test_intervals_hold_exactly_what_is_inside(spark, small):
+    rows = p1_intervals(spark, small).collect()
+    assert rows and all(r.n == r.as_linked for r in rows)
+
+
+def test_generic_tables(spark):
+    """Other paths, a table within a table, members of nodes that are no objects, and half a surrogate pair."""
+    shape = nested.Shape({"box": nested.Table("a.boxes[]", ("name",)), "leaf": nested.Table("a.boxes[].leaves[]", ("value",), up=(("box", "box", "name"), ("box_pos", "box", "pos")), objects=False)})
+    df = spark.createDataFrame([(1, '{"a": {"boxes": [{"leaves": [1, [2, 3]], "name": "p"}, 5, {"leaves": ["\\ud800x"]}]}, "boxes": [1]}', "clash")], "id long, js string, kind string")
+    rows = nested.shred(df, ["id"], "js", shape)
+    leaves = [tuple(r)[3:] for r in nested.table(rows, ["id"], shape, "leaf").orderBy("pre").collect()]
+    assert leaves == [(0, False, "1", "p", "0"), (1, False, "[2, 3]", "p", "0"), (0, False, "?x", None, "2")]
+    assert [tuple(r)[3:] for r in nested.table(rows, ["id"], shape, "box").orderBy("pre").collect()] == [(0, False, "p"), (2, False, None)]

@@ -1,11 +1,12 @@
 import json
+import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import duckdb
 
 from fuzzloom.operators.prefix import running
-from fuzzloom.operators.references import ForeignKey, cascade
+from fuzzloom.operators.references import Cascade, ForeignKey, status_at
 from fuzzloom.plans.data import p3_found, p3_report
 
 REC = "rec_id long, map_id string, received_at timestamp_ntz, fcm_json string"
@@ -81,6 +82,30 @@ def test_cascade_rounds_and_cycles(spark):
     a = spark.createDataFrame([(1, None), (2, 9), (3, 2), (4, 3), (5, 6), (6, 5)], "id int, up int")
     b = spark.createDataFrame([(10, 4), (11, 1), (12, 77), (13, None)], "bid int, a int")
     keys = [ForeignKey("a", ("up",), "a", ("id",)), ForeignKey("b", ("a",), "a", ("id",))]
-    got = cascade({"a": (a, ["id"]), "b": (b, ["bid"])}, keys)
+    got = Cascade({"a": (a, ["id"]), "b": (b, ["bid"])}, keys).found()
     assert sorted(tuple(r) for r in got["a"].collect()) == [(2, "direct", 0), (3, "inherited", 1), (4, "inherited", 2)]
     assert sorted(tuple(r) for r in got["b"].collect()) == [(10, "inherited", 3), (12, "direct", 0)]
+
+
+def test_status_against_plain_rule(spark):
+    """Many arrivals and deletions of few keys, null keys and times among them."""
+    rng = random.Random(6)
+    t = lambda: None if rng.random() < 0.05 else datetime(2024, 1, 1) + timedelta(hours=rng.randrange(40))
+    name = lambda: rng.choice(["hot", "hot", "a", "b", None])
+    come, gone = [(name(), t()) for _ in range(60)], [(name(), t()) for _ in range(60)]
+    refs = [(name() if rng.random() < 0.9 else "never", i, t()) for i in range(400)]
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    got = status_at(frame(refs, "k string, i int, at timestamp_ntz"), frame(come, "k string, at timestamp_ntz"), frame(gone, "k string, at timestamp_ntz"), ["k"], ["i"], "at").collect()
+    end = datetime(9999, 12, 31)
+    want = set()
+    for k, i, at in refs:
+        at = at or end
+        seen = [x or end for c, x in come if c == k]
+        before = [x for x in seen if x <= at]
+        if not seen:
+            want.add((i, "missing"))
+        elif not before:
+            want.add((i, "late"))
+        elif any(max(before) < (x or end) <= at for g, x in gone if g == k):
+            want.add((i, "deleted"))
+    assert {(r.i, r.status) for r in got} == want and len(got) == len(want) and {s for _, s in want} == {"missing", "late", "deleted"}
