@@ -1,10 +1,11 @@
 """Passages of held-out test items inside a corpus.
 
 Winnowing: of every ``WINDOW`` neighbouring k-grams of words the one with the least hash is kept, on both sides. Two texts that
-share ``K + WINDOW - 1`` words in a row thus share a kept k-gram. Pairs of document and item with enough kept k-grams near one
-diagonal are extended over all their words and decided exactly.
+share ``K + WINDOW - 1`` words in a row thus share a kept k-gram. Fingerprints of the corpus and of the test items meet in a join;
+pairs with enough of them near one diagonal are extended over their words and decided exactly.
 
-The corpus is read once and never shuffled: test items are few against it and go to the tasks, in blocks of a fixed size.
+The corpus is read once and its texts are never shuffled. A bitmap of fixed size tells which fingerprints can't be any test
+item's, so that most never leave the task that made them; where it is full it lets all pass, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -17,19 +18,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.scratch import spread
+from fuzzloom.scratch import join_small, materialize, spread
 
 #: Words in a k-gram and k-grams in a window: any four shared words in a row are seen.
 K, WINDOW = 3, 2
 #: Shared words in a row; words of a stretch with changes; words for each change in it.
 EXACT, STRETCH, PER_CHANGE = 12, 20, 6
-#: Characters of test items that go to the tasks at once; more are taken in turn.
-ITEM_CHARS = 20_000_000
-#: Words of documents that are looked up together, and cells of the alignments made together.
-BATCH_WORDS, BATCH_CELLS = 2_000_000, 4_000_000
+#: A stretch of twice ``STRETCH`` words or more can be cut into pieces of ``STRETCH`` to so many, one of which has no more changes for
+#: its words than the whole. So nothing longer need be followed, and no more changes than these.
+LONGEST = 2 * STRETCH - 1
+MOST = LONGEST // PER_CHANGE
+#: Items are taken in parts of 2 * BLOCK words that begin every BLOCK words, so any piece lies in one part.
+BLOCK = LONGEST + 1
+#: Kept k-grams that a piece shares at least: one of L words with e <= L / 6 changes has (L - 4e - 3) / 2 of them or more.
+SHARED = 3
+#: Bits of the bitmap of fingerprints of test items.
+BITS = 1 << 23
+#: Words of documents that are looked up together, cells of the alignments made together, and words that a task remembers.
+BATCH_WORDS, BATCH_CELLS, REMEMBERED = 2_000_000, 4_000_000, 1_000_000
 #: Diagonals of an alignment's start.
 SPAN = 16
 
@@ -64,32 +75,30 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_JOINED.sub("", text).casefold())
 
 
-class _Known(dict):
-    """Word -> number; other words are 0 and stay unknown."""
+class _Hashes(dict):
+    """Word -> its 64-bit hash, never 0."""
 
     def __missing__(self, word: str) -> int:
-        return 0
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return h
 
 
-def _grams(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the k-gram at each place but the last K - 1, and whether all its words are known."""
-    n = max(len(ids) - K + 1, 0)
+def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the k-gram at each place but the last K - 1, and whether it is one: 0 stands between texts."""
+    n = max(len(words) - K + 1, 0)
     key, ok = np.zeros(n, np.uint64), np.ones(n, bool)
     with np.errstate(over="ignore"):
         for k in range(K):
-            part = ids[k : k + n]
-            key = key * np.uint64(base) + part.astype(np.uint64)
+            part = words[k : k + n]
+            key = key * np.uint64(0x9E3779B97F4A7C15) + part
             ok &= part > 0
-    return key, ok
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(32)), ok
 
 
 def _winnow(key: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Places of the kept k-grams: in each window the rightmost with the least hash."""
-    h = key
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h = np.where(ok, h, np.uint64(0xFFFFFFFFFFFFFFFF))
+    h = np.where(ok, key, np.uint64(0xFFFFFFFFFFFFFFFF))
     if len(h) < WINDOW:
         return np.flatnonzero(ok)
     views = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
@@ -99,141 +108,95 @@ def _winnow(key: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kept & ok)
 
 
-class Items:
-    """Test items as the tasks need them: numbered words, and for each k-gram its places, all and kept ones."""
-
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        split = [(i, w) for i, w in zip(ids, map(words, texts), strict=True) if len(w) >= EXACT]
-        self.ids = np.array([i for i, _ in split], np.int64)
-        self.vocabulary = _Known()
-        for _, w in split:
-            for x in w:
-                if x not in self.vocabulary:
-                    self.vocabulary[x] = len(self.vocabulary) + 1
-        self.base = len(self.vocabulary) + 1
-        self.length = np.array([len(w) for _, w in split], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.words = np.array([self.vocabulary[x] for _, w in split for x in w], np.int32)
-        keys, places, kept = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-        for begin, n in zip(self.start, self.length, strict=True):
-            key, ok = _grams(self.words[begin : begin + n], self.base)
-            keep = np.zeros(len(key), bool)
-            keep[_winnow(key, ok)] = True
-            keys.append(key), places.append(np.arange(len(key))), kept.append(keep)
-        item = np.repeat(np.arange(len(split)), [len(k) for k in keys[1:]])
-        key, pos, keep = np.concatenate(keys), np.concatenate(places), np.concatenate(kept)
-        order = np.argsort(key, kind="stable")
-        self.every = _Index(key[order], item[order], pos[order])
-        keep = keep[order]
-        self.kept = _Index(key[order][keep], item[order][keep], pos[order][keep])
-
-
-class _Index:
-    """Sorted keys with their places in items."""
-
-    def __init__(self, key: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
-        self.item, self.pos = item, pos
-        self.keys, self.first = np.unique(key, return_index=True)
-        self.count = np.diff(np.append(self.first, len(key)))
-
-    def find(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the k-grams at the places ``at``: (place, item, place in the item) of each meeting."""
-        if not len(self.keys) or not len(at):
-            return (np.empty(0, np.int64),) * 3
-        where = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-        same = self.keys[where] == key[at]
-        at, where = at[same], where[same]
-        n = self.count[where]
-        place = np.repeat(self.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[place], self.pos[place]
-
-
-def _needs(most: int) -> list[tuple[int, int]]:
-    """(k-grams, diagonals): a stretch with e changes has at least so many shared k-grams on at most so many further diagonals.
-
-    Each change spoils K k-grams at most and moves by one diagonal at most. Up to 3 changes the least stretch counts.
+_PRINTS = "row long, id long, words array<long>, at array<int>, key array<long>"
+
+
+def fingerprints(texts: DataFrame, id_column: str, text: str, least_words: int, least_prints: int, bitmap=None) -> DataFrame:
+    """(row, id, words, at, key) of each text with ``least_words`` or more and, of the kept k-grams that pass the bitmap,
+    ``least_prints`` or more: hashes of its words, places and hashes of those k-grams. Rows are numbered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        number = TaskContext.get().partitionId() << 40
+        bits = bitmap.value if bitmap is not None else None
+
+        def emit(ids: pa.Array, rows: list[list[int]]) -> pa.RecordBatch:
+            nonlocal number
+            size = np.array([len(r) for r in rows], np.int64)
+            # Zeros after each text, so that no k-gram spans two.
+            begin = np.cumsum(size + K) - (size + K)
+            flat = np.zeros(int((size + K).sum()), np.uint64)
+            flat[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)] = np.fromiter((x for r in rows for x in r), np.uint64, int(size.sum()))
+            key, ok = _grams(flat)
+            place = _winnow(key, ok)
+            if bits is not None:
+                at = key[place] & np.uint64(8 * len(bits) - 1)
+                place = place[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            text_of = np.searchsorted(begin, place, "right") - 1
+            count = np.bincount(text_of, minlength=len(rows))
+            good = np.flatnonzero((size >= least_words) & (count >= least_prints))
+            mine = np.isin(text_of, good)
+            place, text_of = place[mine], text_of[mine]
+            first = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            wanted = np.repeat(begin[good] - (np.cumsum(size[good]) - size[good]), size[good]) + np.arange(int(size[good].sum()))
+            numbers = pa.array(number + np.arange(len(good)), pa.int64())
+            number += len(good)
+            return pa.RecordBatch.from_arrays(
+                [
+                    numbers, ids.take(pa.array(good)).cast(pa.int64()), pa.ListArray.from_arrays(first(size[good]), pa.array(flat[wanted].view(np.int64))),
+                    pa.ListArray.from_arrays(first(count[good]), pa.array((place - begin[text_of]).astype(np.int32))), pa.ListArray.from_arrays(first(count[good]), pa.array(key[place].view(np.int64))),
+                ],
+                ["row", "id", "words", "at", "key"],
+            )
+
+        for batch in batches:
+            if len(hashes) > REMEMBERED:
+                hashes.clear()
+            rows, begun, total = [], 0, 0
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                rows.append(list(map(hashes.__getitem__, words(value))))
+                total += len(rows[-1])
+                if total >= BATCH_WORDS or i == len(batch) - 1:
+                    yield emit(batch.column(0).slice(begun, len(rows)), rows)
+                    rows, begun, total = [], i + 1, 0
+
+    return spread(texts.select(id_column, text)).mapInArrow(run, _PRINTS)
+
+
+def candidates(documents: DataFrame, prints: DataFrame) -> DataFrame:
+    """(row, item_row, part, span): documents (written, of ``fingerprints``) and parts of items that share ``SHARED`` kept k-grams on near
+    diagonals, and where their alignment begins.
+
+    The join is by fingerprint, with the items' side broadcast if it is small and salted if it isn't.
     """
-    return [(max(STRETCH, PER_CHANGE * e) - K + 1 - K * e, e) for e in range(most + 1)]
-
-
-def _dense(pair: np.ndarray, diagonal: np.ndarray, n: int, spread: np.ndarray | int) -> np.ndarray:
-    """Places in sorted hits from which n hits of the pair lie within ``spread`` diagonals."""
-    if len(pair) < n:
-        return np.empty(0, np.int64)
-    m = len(pair) - n + 1
-    near = diagonal[n - 1 :] - diagonal[:m] <= (spread[:m] if isinstance(spread, np.ndarray) else spread)
-    return np.flatnonzero(near & (pair[n - 1 :] == pair[:m]))
-
-
-def search(items: Items, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, index of item) of each document, given by the numbers of its words, that holds a passage of the item."""
-    none = (np.empty(0, np.int64), np.empty(0, np.int64))
-    if not len(items.ids):
-        return none
-    size = np.array([len(r) for r in rows], np.int64)
-    begin = np.cumsum(size + K) - (size + K)
-    flat = np.zeros(int((size + K).sum()), np.int32)
-    flat[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)] = np.fromiter((x for r in rows for x in r), np.int32, int(size.sum()))
-    row_of = np.repeat(np.arange(len(rows)), size + K)
-    key, ok = _grams(flat, items.base)
-    many = len(items.ids)
-
-    def hits(index: _Index, at: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        place, item, pos = index.find(key, at)
-        pair, diagonal = row_of[place] * many + item, place - pos
-        if only is not None:
-            mine = only[np.minimum(np.searchsorted(only, pair), len(only) - 1)] == pair
-            pair, diagonal = pair[mine], diagonal[mine]
-        order = np.lexsort((diagonal, pair))
-        return pair[order], diagonal[order]
-
-    # Three kept k-grams at least: a stretch of L words with e <= L / 6 changes has (L - 4e - 3) / 2 of them or more.
-    changes = items.length // PER_CHANGE
-    pair, diagonal = hits(items.kept, _winnow(key, ok))
-    candidates = np.unique(pair[_dense(pair, diagonal, 3, changes[pair % many])])
-    if not len(candidates):
-        return none
-    rows_left = np.zeros(len(rows), bool)
-    rows_left[candidates // many] = True
-    pair, diagonal = hits(items.every, np.flatnonzero(ok & rows_left[row_of[: len(ok)]]), candidates)
-    starts = [_dense(pair, diagonal, n, e) for n, e in _needs(int(changes.max()))]
-    starts.append(_dense(pair, diagonal, EXACT - K + 1, 0))
-    at = np.unique(np.concatenate(starts))
-    tasks = np.unique(np.stack([pair[at], diagonal[at] // SPAN], axis=1), axis=0)
-    good = np.zeros(len(tasks), bool)
-    # Tasks with items of like length are aligned together.
-    group = (items.length[tasks[:, 0] % many] + 15) // 16 if len(tasks) else np.empty(0, np.int64)
-    for g in np.unique(group):
-        mine = np.flatnonzero(group == g)
-        longest = int(g) * 16
-        step = max(1, BATCH_CELLS // (SPAN + 2 * (longest // PER_CHANGE)) // 16)
-        for k in range(0, len(mine), step):
-            part = mine[k : k + step]
-            good[part] = _align(items, flat, begin, size, tasks[part, 0] // many, tasks[part, 0] % many, tasks[part, 1] * SPAN)
-    found = np.unique(tasks[good, 0])
-    return found // many, found % many
-
-
-def _align(items: Items, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """Whether each document holds a passage of its item near the diagonals ``diagonal`` to ``diagonal + SPAN - 1``.
+    mine = documents.select("row", F.inline(F.arrays_zip("at", "key")))
+    hits = join_small(mine, prints, ["key"]).select("row", "item_row", "part", (F.col("at") - F.col("pos")).alias("diagonal"), "changes")
+    near = Window.partitionBy("row", "item_row", "part").orderBy("diagonal")
+    dense = hits.withColumn("_far", F.lead("diagonal", SHARED - 1).over(near)).filter(F.col("_far") - F.col("diagonal") <= F.col("changes"))
+    return dense.select("row", "item_row", "part", F.floor(F.col("diagonal") / SPAN).cast("int").alias("span")).distinct()
+
+
+def _align(text: pa.ListArray, item: pa.ListArray, lane: np.ndarray) -> np.ndarray:
+    """Whether each text holds a passage of its item near the diagonals from ``lane + MOST`` on.
 
     best[e] is, for each diagonal, the most words of the item in a stretch that ends here with at most e words changed, dropped
-    or added; a stretch may begin anywhere. One step takes all tasks one word of their items on.
+    or added; a stretch may begin anywhere. One step takes all one word of their items on.
     """
-    n = items.length[item]
-    most = int(n.max()) // PER_CHANGE
-    wide = SPAN + 2 * most
-    lane = diagonal[:, None] - most + np.arange(wide)
-    low, high = begin[row][:, None], (begin + size)[row][:, None]
-    best = np.zeros((most + 1, len(row), wide), np.int16)
-    good = np.zeros(len(row), bool)
-    least = [EXACT, *(max(STRETCH, PER_CHANGE * e) for e in range(1, most + 1))]
+    size, n = (a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for a in (text, item))
+    flat, item_flat = (a.flatten().to_numpy(zero_copy_only=False) for a in (text, item))
+    begin, start = np.cumsum(size) - size, np.cumsum(n) - n
+    most = min(int(n.max()) // PER_CHANGE, MOST)
+    wide = SPAN + 2 * MOST
+    at = lane[:, None] + np.arange(wide)
+    high = size[:, None]
+    best = np.zeros((most + 1, len(n), wide), np.int16)
+    good = np.zeros(len(n), bool)
+    least = np.array([EXACT, *(max(STRETCH, PER_CHANGE * e) for e in range(1, most + 1))])[:, None, None]
     for i in range(int(n.max())):
         live = (i < n)[:, None]
-        at = lane + i
-        inside = (at >= low) & (at < high) & live
-        here = np.where(live[:, 0], items.words[np.minimum(items.start[item] + i, len(items.words) - 1)], -1)
-        same = inside & (flat[np.clip(at, 0, len(flat) - 1)] == here[:, None])
+        inside = (at >= 0) & (at < high) & live
+        here = item_flat[np.minimum(start + i, len(item_flat) - 1)]
+        same = inside & (flat[np.clip(begin[:, None] + at, 0, len(flat) - 1)] == here[:, None])
         now = np.empty_like(best)
         now[0] = np.where(same, best[0] + 1, 0)
         for e in range(1, most + 1):
@@ -241,42 +204,53 @@ def _align(items: Items, flat: np.ndarray, begin: np.ndarray, size: np.ndarray,
             step[:, :-1] = np.maximum(step[:, :-1], best[e - 1][:, 1:] + 1)  # a word of the item is dropped
             step[:, 1:] = np.maximum(step[:, 1:], now[e - 1][:, :-1])  # a word is added
             now[e] = np.maximum(step, now[e - 1])
-        for e in range(most + 1):
-            good |= ((now[e] >= least[e]) & live).any(axis=1)
+        good |= ((now >= least) & live).any(axis=(0, 2))
         best = now
+        at = at + 1
     return good
 
 
+def aligned(tasks: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id) of tasks (doc_id, item_id, lane, text, item) whose text holds a passage of the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = BATCH_CELLS // ((MOST + 1) * (SPAN + 2 * MOST))
+        for batch in batches:
+            good = []
+            for k in range(0, len(batch), step):
+                part = batch.slice(k, step)
+                good.append(_align(part.column("text"), part.column("item"), part.column("lane").to_numpy()))
+            keep = pa.array(np.concatenate(good) if good else np.empty(0, bool), pa.bool_())
+            yield batch.select(["doc_id", "item_id"]).filter(keep)
+
+    return tasks.mapInArrow(run, "doc_id long, item_id int")
+
+
 def leaks(documents: DataFrame, test_items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the document's text holds ``EXACT`` words of the item in a row, or a stretch of at least
     ``STRETCH`` of its words with at most one in ``PER_CHANGE`` changed, dropped or added; words as ``words`` gives them.
 
     documents: doc_id, text; test_items: item_id, item_text. Null and empty texts hold nothing and items of under ``EXACT`` words
-    can't be found. Rows with the same item_id are one item with several texts. A pair is given once. Texts are searched whole.
-    Other columns are not read. Items are taken in blocks of ``ITEM_CHARS``, each against all documents.
+    can't be found. Rows with the same item_id are one item with several texts. A pair is given once. Texts are searched whole,
+    and items of any length; the cost of an item grows with its length alone. Other columns are not read.
     """
-    total = test_items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, -(-total // ITEM_CHARS))
-    out = None
-    for b in range(blocks):
-        mine = test_items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else test_items
-        rows = mine.select("item_id", "item_text").filter("item_id IS NOT NULL").collect()
-        sent = documents.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            number = items.vocabulary.__getitem__
-            for batch in batches:
-                ids = batch.column("doc_id")
-                rows, first, size = [], 0, 0
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    rows.append(list(map(number, words(text))))
-                    size += len(rows[-1])
-                    if size >= BATCH_WORDS or i == len(batch) - 1:
-                        row, item = search(items, rows)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + first)), pa.array(items.ids[item], pa.int32())], ["doc_id", "item_id"])
-                        rows, first, size = [], i + 1, 0
-
-        part = spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, item_id int")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    items = materialize(fingerprints(test_items.filter("item_id IS NOT NULL"), "item_id", "item_text", EXACT, 0), "items")
+    last = F.greatest(F.ceil(F.size("words") / BLOCK).cast("int") - 2, F.lit(0))
+    parts = materialize(items.select(F.col("row").alias("item_row"), "id", "words", F.explode(F.sequence(F.lit(0), last)).alias("part")).select("item_row", "part", F.col("id").cast("int").alias("item_id"), F.slice("words", F.col("part") * BLOCK + 1, 2 * BLOCK).alias("item")), "parts")
+    each = items.select("row", last.alias("last"), F.size("words").alias("n"), F.inline(F.arrays_zip("at", "key")))
+    own = F.floor(F.col("at") / BLOCK).cast("int")
+    placed = each.select("*", F.explode(F.array_distinct(F.array(F.greatest(own - 1, F.lit(0)), F.least(own, F.col("last"))))).alias("part"))
+    changes = F.least(F.least(F.col("n") - F.col("part") * BLOCK, F.lit(2 * BLOCK)) / PER_CHANGE, F.lit(MOST)).cast("int")
+    prints = materialize(placed.select("key", F.col("row").alias("item_row"), "part", (F.col("at") - F.col("part") * BLOCK).alias("pos"), changes.alias("changes")), "prints")
+
+    set_bits = prints.select(F.col("key").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    np.bitwise_or.at(bitmap, set_bits >> 3, (1 << (set_bits & 7)).astype(np.uint8))
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+
+    seen = materialize(fingerprints(documents, "doc_id", "text", EXACT, SHARED, sent), "seen")
+    spans = materialize(candidates(seen, prints), "spans")
+    tasks = join_small(join_small(seen.select("row", "id", "words"), spans, ["row"]), parts, ["item_row", "part"])
+    lane = F.col("span") * SPAN - MOST
+    text = F.slice("words", F.greatest(lane, F.lit(0)) + 1, F.size("item") + SPAN + 2 * MOST)
+    return aligned(tasks.select(F.col("id").alias("doc_id"), "item_id", F.least(lane, F.lit(0)).alias("lane"), text.alias("text"), "item")).distinct()

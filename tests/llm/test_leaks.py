@@ -49,27 +49,37 @@ def mutate(rng, words, vocabulary, share):
 
 
 @pytest.mark.parametrize("size", [25, 400])
-def test_search_against_plain_alignment(size):
+def test_search_against_plain_alignment(spark, write, size):
     rng = random.Random(size)
     vocabulary = [f"w{i}" for i in range(size)]
     items = [[rng.choice(vocabulary) for _ in range(rng.randrange(12, 50))] for _ in range(14)]
     items.append(items[0][:30] + items[1][:20])
+    # Longer than one part.
+    items.append([rng.choice(vocabulary) for _ in range(190)])
     docs = []
     for _ in range(110):
-        it = rng.choice(items)
+        it = rng.choice([*items, items[-1], items[-1]])
         a = rng.randrange(len(it) - 8)
-        part = it[a : a + rng.randrange(8, 40)]
+        part = it[a : a + rng.randrange(8, 60)]
         around = [[rng.choice(vocabulary) for _ in range(rng.randrange(15))] for _ in range(2)]
         docs.append(around[0] + mutate(rng, part, vocabulary, rng.choice([0, 0.1, 0.16, 0.2, 0.3])) + around[1])
     # Changes as far apart as can be: one in six, and one more.
     long = items[0] = [f"w{i % size}" for i in range(3, 48)]
     docs += [[("x" if i % 6 == k else w) for i, w in enumerate(long[:n])] for k in (4, 5) for n in (20, 23, 24, 25, 30, 42)]
     docs += [[("x" if i % 5 == 4 else w) for i, w in enumerate(long[:24])], long[:11], long[:12], long[:17] + ["x"], []]
-    index = L.Items(list(range(len(items))), [" ".join(i) for i in items])
-    row, item = L.search(index, [[index.vocabulary[w] for w in d] for d in docs])
-    want = {(r, i) for r, d in enumerate(docs) for i, it in enumerate(items) if holds(d, it)}
-    assert set(zip(row.tolist(), item.tolist(), strict=True)) == want
-    assert len(want) > 25 and any(holds(d, items[0]) for d in docs[110:])
+    d = write(documents=(DOCS, [(i, " ".join(w), 9, "x") for i, w in enumerate(docs)]), eval_items=(ITEMS, [(i, "s", "en", " ".join(w), 1) for i, w in enumerate(items)]))
+    want = {(r, i) for r, doc in enumerate(docs) for i, it in enumerate(items) if holds(doc, it)}
+    assert {tuple(r) for r in p7_found(spark, d).collect()} == want
+    assert len(want) > 25 and any(holds(doc, items[0]) for doc in docs[110:])
+
+
+def test_long_items(spark, write):
+    """Items of thousands of words are taken in parts; passages over the parts' borders are found."""
+    rng = random.Random(12)
+    item = [f"v{rng.randrange(3000)}" for _ in range(4000)]
+    docs = [item[k : k + 12] for k in range(30, 50)] + [[w if i % 7 else "x" for i, w in enumerate(item[k : k + 45])] for k in (0, 33, 61, 3940)] + [[w if i % 4 else "x" for i, w in enumerate(item[:400])], item[3989:]]
+    d = write(documents=(DOCS, [(i, " ".join(w), 9, "x") for i, w in enumerate(docs)]), eval_items=(ITEMS, [(1, "s", "en", " ".join(item), 1)]))
+    assert sorted(r.doc_id for r in p7_found(spark, d).collect()) == [*range(24)]
 
 
 def test_winnowing_guarantee():
@@ -78,8 +88,8 @@ def test_winnowing_guarantee():
         shared = [rng.randrange(1, 30) for _ in range(L.K + L.WINDOW - 1)]
         sides = []
         for _ in range(2):
-            ids = np.array([rng.randrange(0, 30) for _ in range(9)] + shared + [rng.randrange(0, 30) for _ in range(9)], np.int32)
-            key, ok = L._grams(ids, 31)
+            ids = np.array([rng.randrange(0, 30) for _ in range(9)] + shared + [rng.randrange(0, 30) for _ in range(9)], np.uint64)
+            key, ok = L._grams(ids)
             sides.append({int(key[i]) for i in L._winnow(key, ok) if 9 <= i < 9 + L.WINDOW})
         assert sides[0] & sides[1]
 
@@ -98,7 +108,10 @@ def test_odd_tables(spark, write, monkeypatch):
     got = lambda: sorted(map(tuple, p7_found(spark, d).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     assert got() == want
     assert [tuple(r) for r in p7_items(spark, d).collect()] == [(7, "s", "en", 4)]
-    monkeypatch.setattr(L, "ITEM_CHARS", 60)
+    # A bitmap that is full lets all pass; a join that isn't broadcast finds the same.
+    monkeypatch.setattr(L, "BITS", 8)
+    assert got() == want
+    monkeypatch.setattr(L.join_small, "__defaults__", ("inner", 0))
     assert got() == want
 
 
