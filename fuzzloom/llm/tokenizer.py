@@ -7,16 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from fuzzloom.llm.blocks import cut, reassemble, words_of
+from fuzzloom.scratch import join_small, materialize
 
 FOLDER = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 #: How text is split before the merges, as the vocabulary's publisher states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,22 +38,19 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, no, ids) for (block, no, word): words meet by a shuffle on the word, so each is encoded in one task only."""
+    """(block, no, ids) for (block, no, word): each distinct word of the corpus is encoded once and joined back.
+
+    The distinct words are found with partial sets before the shuffle, so a word of every block is one row of each task. Coming
+    back, they are broadcast if they are few and salted if not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = _encoder(path), {}
+        encode = _encoder(path)
         for batch in batches:
-            if len(known) > REMEMBERED:
-                known = {}
-            ids = []
-            for word in batch.column("word").to_pylist():
-                got = known.get(word)
-                if got is None:
-                    got = known[word] = encode(word)
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("no"), pa.array(ids, pa.list_(pa.int32()))], ["block", "no", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(map(encode, batch.column("word").to_pylist())), pa.list_(pa.int32()))], ["word", "ids"])
 
-    return words.repartition("word").mapInArrow(run, "block long, no int, ids array<int>")
+    encoded = materialize(words.select("word").distinct().mapInArrow(run, "word string, ids array<int>"), "encoded")
+    return join_small(words, encoded, ["word"]).select("block", "no", "ids")
 
 
 def _join_ids(documents: pa.Table, words: pa.Table) -> pa.Table:
@@ -83,28 +80,30 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = RANKS) -> Dat
     Null and empty text have an empty list. Strings that look like special tokens are ordinary text. Rows with a null or repeated
     doc_id are encoded like others. Other columns are not read. Texts are split whole, however long.
 
-    Words are shuffled once by word and once by block, as one row for each distinct word of a block of documents; texts
-    themselves never move.
+    One row for each distinct word of a block of documents is joined with the words' ids and shuffled by block; texts themselves
+    never move.
     """
     path = f"{folder}/{name}"
     blocks = cut(documents, _splitter, "tokens")
     return reassemble(blocks, encode_words(words_of(blocks), path), _join_ids, "doc_id long, ids array<int>")
 
 
+def token_table(path: str) -> Column:
+    """The bytes of each token by id, as characters up to 255; a constant of the plan."""
+    ranks = load_ranks(path)
+    tokens = [""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token.decode("latin-1")
+    return F.split(F.lit("\u0100".join(tokens)), "\u0100")
+
+
 def decode(encoded: DataFrame, folder: str = FOLDER, name: str = RANKS) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): the bytes of each token joined in order. A null list gives a null text, an id outside the
-    vocabulary and bytes that are no UTF-8 give U+FFFD. The token table has a fixed size and goes to every task.
-    """
-    path = f"{folder}/{name}"
+    vocabulary and bytes that are no UTF-8 give U+FFFD.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        table = [b"\xff"] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            table[i] = token
-        look = lambda i: table[i] if i is not None and 0 <= i < len(table) else b"\xff"
-        for batch in batches:
-            texts = [None if ids is None else b"".join(map(look, ids)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    The token-byte table has a fixed size and is joined by position within each row: taking documents apart into tokens for a join
+    of tables would shuffle every token to put them together again.
+    """
+    tokens = token_table(f"{folder}/{name}")
+    joined = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(tokens, i), F.lit("\xff"))), "")
+    return encoded.select("doc_id", F.make_valid_utf8(F.encode(joined, "ISO-8859-1").cast("string")).alias("text"))
