@@ -17,11 +17,14 @@ def test_held_out_accuracy(spark):
     rated = R.ratings(labels)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     train = materialize(rated.filter(~held), "train")
-    profiled = R.profiles(docs, R.word_grades(docs, train))
+    blocks = R.blocks_of(docs)
+    profiled = R.profiles(blocks, R.word_grades(blocks, train))
     got = R.predict(profiled, train, R.fit(profiled, train)).join(rated.filter(held), "doc_id").collect()
     agreed = [r for r in got if max(r.votes) == sum(r.votes) >= 2]
     assert len(agreed) > 80 and np.mean([r.reading_level == r.level for r in agreed]) >= 0.95
-    assert np.mean([r.reading_level == r.level for r in got]) >= 0.9
+    right = np.mean([r.reading_level == r.level for r in got])
+    print("documents left out:", len(got), "right:", right)
+    assert right >= 0.9
 
 
 def test_every_long_document_once(spark, small):
