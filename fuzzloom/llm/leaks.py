@@ -14,9 +14,12 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
@@ -35,8 +38,12 @@ LONGEST = 2 * STRETCH - 1
 MOST = LONGEST // PER_CHANGE
 #: Items are taken in parts of 2 * BLOCK words that begin every BLOCK words, so any piece lies in one part.
 BLOCK = LONGEST + 1
-#: Kept k-grams that a piece shares at least: one of L words with e <= L / 6 changes has (L - 4e - 3) / 2 of them or more.
+#: Kept k-grams that a piece shares at least on at most so many further diagonals: one of L words with e <= L / 6 changes has
+#: (L - 4e - 3) / 2 of them or more on e further diagonals, for 0 to 6 changes 5, 7, 5, 3, 3, 4 and 5.
+NEAR = ((3, 4), (4, 5), (5, 6))
 SHARED = 3
+#: Of all k-grams such a piece shares L - 2 - 3e or more, the least for 3 changes in 20 words.
+SHARED_ALL = 9
 #: Bits of the bitmap of fingerprints of test items.
 BITS = 1 << 23
 #: Words of documents that are looked up together, cells of the alignments made together, and words that a task remembers.
@@ -172,31 +179,50 @@ def candidates(documents: DataFrame, prints: DataFrame) -> DataFrame:
     mine = documents.select("row", F.inline(F.arrays_zip("at", "key")))
     hits = join_small(mine, prints, ["key"]).select("row", "item_row", "part", (F.col("at") - F.col("pos")).alias("diagonal"), "changes")
     near = Window.partitionBy("row", "item_row", "part").orderBy("diagonal")
-    dense = hits.withColumn("_far", F.lead("diagonal", SHARED - 1).over(near)).filter(F.col("_far") - F.col("diagonal") <= F.col("changes"))
+    within = [F.lead("diagonal", n - 1).over(near) - F.col("diagonal") <= F.least("changes", F.lit(e)) for n, e in NEAR]
+    dense = hits.withColumn("_dense", reduce(or_, [F.coalesce(c, F.lit(False)) for c in within])).filter("_dense")
     return dense.select("row", "item_row", "part", F.floor(F.col("diagonal") / SPAN).cast("int").alias("span")).distinct()
 
 
-def _align(text: pa.ListArray, item: pa.ListArray, lane: np.ndarray) -> np.ndarray:
-    """Whether each text holds a passage of its item near the diagonals from ``lane + MOST`` on.
+class _Lanes:
+    """Texts and items word by word along the diagonals from ``lane`` on, for many tasks together."""
+
+    def __init__(self, text: pa.ListArray, item: pa.ListArray, lane: np.ndarray) -> None:
+        self.size, self.n = (a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for a in (text, item))
+        self.flat, self.items = (a.flatten().to_numpy(zero_copy_only=False) for a in (text, item))
+        self.begin, self.start = np.cumsum(self.size) - self.size, np.cumsum(self.n) - self.n
+        self.lane = lane[:, None] + np.arange(SPAN + 2 * MOST)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each word of the items: which have one, which places are inside the text, and where the words are the same."""
+        for i in range(int(self.n.max())):
+            at, live = self.lane + i, (i < self.n)[:, None]
+            inside = (at >= 0) & (at < self.size[:, None]) & live
+            here = self.items[np.minimum(self.start + i, len(self.items) - 1)]
+            yield live, inside, inside & (self.flat[np.clip(self.begin[:, None] + at, 0, len(self.flat) - 1)] == here[:, None])
+
+
+def _share(lanes: _Lanes) -> np.ndarray:
+    """How many k-grams of its item each text has near the diagonals."""
+    count = np.zeros(len(lanes.n), np.int64)
+    run = np.zeros(lanes.lane.shape, np.int8)
+    for _, _, same in lanes:
+        run = np.where(same, np.minimum(run + 1, K), 0)
+        count += (run == K).sum(axis=1)
+    return count
+
+
+def _align(lanes: _Lanes) -> np.ndarray:
+    """Whether each text holds a passage of its item near the diagonals.
 
     best[e] is, for each diagonal, the most words of the item in a stretch that ends here with at most e words changed, dropped
     or added; a stretch may begin anywhere. One step takes all one word of their items on.
     """
-    size, n = (a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for a in (text, item))
-    flat, item_flat = (a.flatten().to_numpy(zero_copy_only=False) for a in (text, item))
-    begin, start = np.cumsum(size) - size, np.cumsum(n) - n
-    most = min(int(n.max()) // PER_CHANGE, MOST)
-    wide = SPAN + 2 * MOST
-    at = lane[:, None] + np.arange(wide)
-    high = size[:, None]
-    best = np.zeros((most + 1, len(n), wide), np.int16)
-    good = np.zeros(len(n), bool)
+    most = min(int(lanes.n.max()) // PER_CHANGE, MOST)
+    best = np.zeros((most + 1, *lanes.lane.shape), np.int16)
+    good = np.zeros(len(lanes.n), bool)
     least = np.array([EXACT, *(max(STRETCH, PER_CHANGE * e) for e in range(1, most + 1))])[:, None, None]
-    for i in range(int(n.max())):
-        live = (i < n)[:, None]
-        inside = (at >= 0) & (at < high) & live
-        here = item_flat[np.minimum(start + i, len(item_flat) - 1)]
-        same = inside & (flat[np.clip(begin[:, None] + at, 0, len(flat) - 1)] == here[:, None])
+    for live, inside, same in lanes:
         now = np.empty_like(best)
         now[0] = np.where(same, best[0] + 1, 0)
         for e in range(1, most + 1):
@@ -206,7 +232,6 @@ def _align(text: pa.ListArray, item: pa.ListArray, lane: np.ndarray) -> np.ndarr
             now[e] = np.maximum(step, now[e - 1])
         good |= ((now >= least) & live).any(axis=(0, 2))
         best = now
-        at = at + 1
     return good
 
 
@@ -214,14 +239,18 @@ def aligned(tasks: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id) of tasks (doc_id, item_id, lane, text, item) whose text holds a passage of the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = BATCH_CELLS // ((MOST + 1) * (SPAN + 2 * MOST))
-        for batch in batches:
-            good = []
+        def pick(batch: pa.RecordBatch, test, cells: int) -> pa.RecordBatch:
+            step, good = BATCH_CELLS // (cells * (SPAN + 2 * MOST)), [np.empty(0, bool)]
             for k in range(0, len(batch), step):
                 part = batch.slice(k, step)
-                good.append(_align(part.column("text"), part.column("item"), part.column("lane").to_numpy()))
-            keep = pa.array(np.concatenate(good) if good else np.empty(0, bool), pa.bool_())
-            yield batch.select(["doc_id", "item_id"]).filter(keep)
+                good.append(test(_Lanes(part.column("text"), part.column("item"), part.column("lane").to_numpy())))
+            return batch.filter(pa.array(np.concatenate(good)))
+
+        for batch in batches:
+            near = pick(batch, lambda lanes: _share(lanes) >= SHARED_ALL, 1)
+            # Items of like length are aligned together.
+            near = near.take(pc.sort_indices(pc.list_value_length(near.column("item"))))
+            yield pick(near, _align, MOST + 1).select(["doc_id", "item_id"])
 
     return tasks.mapInArrow(run, "doc_id long, item_id int")
 
