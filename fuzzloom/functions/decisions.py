@@ -1,4 +1,4 @@
-"""Decision functions over a trajectory that is held as an array column: the twins of ``kernel.decide`` for stored states."""
+"""Decision functions over a trajectory that is held as an array column: the twins of ``kernel.decided`` for stored states."""
 
 from __future__ import annotations
 

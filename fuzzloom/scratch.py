@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in bytes of its Parquet files, that is sent whole to every executor.
-BROADCAST_BYTES = 16 << 20
+#: Largest table, in bytes of its Parquet files and in rows, that is sent whole to every executor.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 20
 
 _own_dir: str | None = None
 
@@ -66,19 +66,32 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table of a few small files would be one task. Tables with enough partitions, as all large ones, and streams stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    # Asking a plan with a shuffle for its partitions would run the shuffle; what comes from one is spread already.
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() not in _NARROW:
+            return df
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Plans whose partitions are known without running anything.
+_NARROW = {"Project", "Filter", "LogicalRelation", "Relation", "LogicalRDD", "LocalRelation", "Range", "MapInArrow", "Union", "SubqueryAlias"}
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Join with a written table: broadcast if its files are within ``limit``, else a shuffled join with salted keys.
+    """Join with a written table: broadcast if its files are within ``limit`` and its rows, which the files' footers tell, within
+    ``BROADCAST_ROWS``; else a shuffled join with salted keys.
 
     In the shuffled form each row of ``small`` is given once for each of 16 salts and rows of ``big`` take a salt from their
     position, so a key with a third of all rows is spread over 16 tasks.
     """
-    if table_bytes(small) <= limit:
+    if table_bytes(small) <= limit and small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salts = F.explode(F.array(*[F.lit(i) for i in range(16)]))
     salted = small.withColumn("_salt", salts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet, defuzzify
 from fuzzloom.functions.decisions import DECIDERS
 from fuzzloom.model import CognitiveMap, Settings, from_json, to_json, vector
-from fuzzloom.operators.kernel import decide, final_state, infer, is_stable, run_map, trace
+from fuzzloom.operators.kernel import compile_map, decided, final_state, infer, is_stable, run_map, trace, trajectories
 
 NAMES = ["result_1", "result_2", "input_1", "input_2", "input_3", "input_4", "input_5"]
 ARCS = [
@@ -168,9 +168,50 @@ def test_decisions_over_stored_states(spark):
         assert r.LAST == (x[p] if p > 0 else x[-1])
         assert r.MEAN == pytest.approx(sum(x[: p + 1]) / (p + 1) if p > 0 else sum(x) / len(x))
         assert r.EXITED == (None if p == 0 else max(x[:p]) if p > 0 else max(x))
-        states, count = np.array(x)[:, None, None], np.array([len(x)])
-        for name in DECIDERS:
-            s = Settings(decision=name, extra_steps=len(x) - 1 - p if p >= 0 and len(x) - 1 - p > 0 else 99)
-            if p < len(x) - 1:
-                v = decide(states, count, s)[0, 0]
-                assert (v != v and r[name] is None) or v == pytest.approx(r[name])
+
+
+def row_by_row(c, x):
+    """States of one row by the rules' own words: (states, p)."""
+    s = c.settings
+    e, states, streak, begin = s.extra_steps, [x], 0, None
+    most = max(s.max_iter - 1, 1) if s.mode == "matrix" else 10**9
+    need = e if s.mode == "matrix" else e - 1
+    end = 1 if need == 0 else None
+    while end is None or len(states) < min(end, most):
+        if len(states) >= most:
+            break
+        states.append(c.step(states[-1][None, :])[0])
+        t, move = len(states) - 1, states[-1] - states[-2]
+        stable = abs(move.sum()) < s.stability_diff if s.mode == "matrix" else (np.abs(move) <= s.stability_diff).all() and s.stabilize or t >= s.max_iter - 1
+        begin, streak = (t if streak == 0 else begin, streak + 1) if stable else (None, 0)
+        if end is None and streak >= need:
+            end = begin + e
+    return states, (-1 if s.decision_window == "full" else len(states) - e - 1)
+
+
+def test_running_decisions_against_stored_states():
+    rng = np.random.default_rng(3)
+    ends = set()
+    for _ in range(250):
+        mode, decision = rng.choice(["iterative", "matrix"]), str(rng.choice(["LAST", "MEAN", "EXITED"]))
+        settings = Settings(
+            max_iter=int(rng.integers(1, 14)), extra_steps=int(rng.integers(1, 5)), stabilize=bool(rng.integers(2)), stability_diff=float(rng.choice([0.001, 0.05, 0.3])),
+            decision=decision, memory=bool(rng.integers(2)), activation=str(rng.choice(["sigmoid", "sigmoid_hip", "saturation"])), mode=str(mode), decision_window=str(rng.choice(["stable", "full"])),
+        )
+        m = CognitiveMap(settings)
+        for k in range(4):
+            m = m.add_concept(f"c{k}")
+        for _ in range(7):
+            m = m.add_relation(f"c{rng.integers(4)}", f"c{rng.integers(4)}", float(rng.uniform(-1, 1)))
+        c = compile_map(m)
+        x = rng.uniform(-1, 1, (9, 4))
+        got = decided(c, x)
+        stored, count = trajectories(c, x)
+        for i in range(len(x)):
+            states, p = row_by_row(c, x[i])
+            assert count[i] == len(states) and np.allclose(stored[: count[i], i], states)
+            v = np.array(states)
+            want = {"LAST": lambda: v[p] if p > 0 else v[-1], "MEAN": lambda: v[: p + 1].mean(axis=0) if p > 0 else v.mean(axis=0), "EXITED": lambda: v.max(axis=0) if p < 0 else v[:p].max(axis=0) if p else np.full(4, np.nan)}[decision]()
+            assert np.allclose(got[i], want, equal_nan=True)
+            ends.add((mode, decision, len(states) < settings.max_iter, p > 0))
+    assert len(ends) > 18 and not len(decided(c, x[:0]))
