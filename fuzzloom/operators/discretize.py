@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fuzzloom.functions.activations import ClusterSet, FuzzySet, memberships
 from fuzzloom.operators.prefix import running
@@ -214,10 +215,28 @@ def three_clusters(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def three_clusters_frame(values: DataFrame, column: str) -> DataFrame:
-    """(value, low, middle, high) of the distinct values of a column, by ranks alone; no middle value is put in."""
-    one = values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    r = (F.row_number().over(Window.orderBy("value")) - 1) / F.greatest((F.count("*").over(Window.partitionBy()) - 1) / 2, F.lit(1.0))
-    return one.select("value", r.alias("r")).select("value", F.greatest(F.lit(0.0), 1 - F.col("r")).alias("low"), (1 - F.abs(F.col("r") - 1)).alias("middle"), F.greatest(F.lit(0.0), F.col("r") - 1).alias("high"))
+    """(value, low, middle, high): ``three_clusters`` of the distinct values of a column, by ranks counted in ranges of value."""
+    ranked = _ranked(_distinct(values, column))
+    n = ranked.count()
+    half = n // 2
+    if n and n % 2 == 0:
+        middle = ranked.filter((F.col("r") == half - 1) | (F.col("r") == half)).agg(F.avg("x").alias("x")).select("x", F.lit(half).cast("long").alias("r"))
+        ranked, n = ranked.select("x", (F.col("r") + (F.col("r") >= half).cast("long")).alias("r")).unionByName(middle), n + 1
+    r = F.col("r") / max((n - 1) / 2, 1.0)
+    return ranked.select(F.col("x").alias("value"), F.greatest(F.lit(0.0), 1 - r).alias("low"), (1 - F.abs(r - 1)).alias("middle"), F.greatest(F.lit(0.0), r - 1).alias("high"))
+
+
+def nearest_frame(values: DataFrame, column: str, centres: np.ndarray) -> DataFrame:
+    """``values`` with ``cluster``, the number of the nearest centre, null where the value is null or NaN."""
+    schema = T.StructType([*values.schema.fields, T.StructField("cluster", T.IntegerType())])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(column).to_numpy(zero_copy_only=False), float)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(x, centres), pa.int32(), mask=np.isnan(x))], names)
+
+    return values.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +20,8 @@ from fuzzloom.operators.discretize import column_sets
 
 #: Distinct values from which a numeric column is continuous.
 CONTINUOUS = 10
+#: Most values of a discrete feature, each of which becomes a concept.
+MOST_VALUES = 4096
 
 
 @dataclass(frozen=True)
@@ -73,6 +79,44 @@ def feature_types(df: DataFrame, columns: list[str], infer: bool = True) -> Data
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_unique"), kind(c).alias("kind")) for c in columns])))
 
 
+def observed(df: DataFrame, columns: list[str], infer: bool = True, most: int = MOST_VALUES) -> tuple[dict[str, str], dict[str, list]]:
+    """The kind of each column (see ``feature_types``) and the rising values of the discrete ones, from one pass.
+
+    Each task keeps of a column no more values than tell that it is continuous, or one more than ``most``, so neither rows nor
+    columns are multiplied and what reaches the driver is bounded. A discrete column with more values is an error: it isn't a feature
+    but a key or a text, and a map can't have a concept for each.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numeric = {c: isinstance(kinds[c], T.NumericType) for c in columns}
+    enough = {c: (CONTINUOUS if infer else 1) if numeric[c] else most + 1 for c in columns}
+    source = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in columns]
+        for batch in batches:
+            for i, c in enumerate(columns):
+                if len(seen[i]) < enough[c]:
+                    fresh = seen[i].union(pc.unique(batch.column(i)).to_pylist()) - {None}
+                    seen[i] = fresh if len(fresh) <= enough[c] else set(sorted(fresh)[: enough[c]])
+        rows = [(c, v) for c, values in zip(columns, seen, strict=True) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["feature", "value"])
+
+    first = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
+    found = source.mapInArrow(run, "feature string, value string").distinct().withColumn("_no", first).filter(F.col("_no") <= max(most + 1, CONTINUOUS))
+    values: dict[str, list] = {c: [] for c in columns}
+    for r in found.collect():
+        values[r.feature].append(r.value)
+    types = {c: "continuous" if numeric[c] and (not infer or len(values[c]) >= CONTINUOUS) else "discrete" for c in columns}
+    of_kind = {T.BooleanType: lambda v: v == "true", T.DecimalType: Decimal, T.FloatType: float, T.DoubleType: float, T.StringType: str}
+    out = {}
+    for c in columns:
+        if types[c] == "discrete":
+            if len(values[c]) > most:
+                raise ValueError(f"column {c} has more than {most} values; a discrete feature has a concept for each")
+            out[c] = sorted(map(of_kind.get(type(kinds[c]), int if numeric[c] else str), values[c]))
+    return types, out
+
+
 def discrete_concepts(df: DataFrame, columns: list[str], separator: str = "___") -> DataFrame:
     """(feature, info, concept) of each distinct value, null not being one; all columns in one pass."""
     each = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("info")) for c in columns]))
@@ -112,15 +156,11 @@ def learn(df: DataFrame, features: list[str], targets: list[str], rules: Rules |
     """
     rules, settings = rules or Rules(), settings or Settings()
     columns = [*features, *[t for t in targets if t not in features]]
-    types = {r.feature: r.kind for r in feature_types(df, columns, infer).collect()}
+    types, value_sets = observed(df, columns, infer)
     concepts: list[FeatureConcept] = []
-    # A map has a concept for each value, so the values of its discrete features fit the driver by their nature.
-    known = [c for c in columns if types[c] == "discrete"]
-    value_sets = df.agg(*[F.collect_set(c).alias(c) for c in known]).first() if known else {}
     for c in columns:
         if types[c] == "discrete":
-            values = sorted(value_sets[c])
-            concepts += [FeatureConcept(f"{v}{rules.separator}{c}", c, str(v), value=v) for v in values]
+            concepts += [FeatureConcept(f"{v}{rules.separator}{c}", c, str(v), value=v) for v in value_sets[c]]
         else:
             sets = column_sets(df, c, strategy, max_clusters, seed=seed)
             concepts += [FeatureConcept(f"{i}{rules.separator}{c}", c, str(i), fuzzy=s) for i, s in enumerate(sets)]

@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuzzloom.estimator import MapEstimator
-from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet, inclination
+from fuzzloom.functions.activations import ACTIVATIONS, FuzzySet, inclination, memberships
 from fuzzloom.functions.measures import MEASURES
 from fuzzloom.model import CognitiveMap, Settings, from_json, to_json
 from fuzzloom.operators.contingency import contingency_frame, discrete_pair
-from fuzzloom.operators.discretize import distinct_values, partition, rl_cmeans, three_clusters_frame
+from fuzzloom.operators.discretize import FUZZIFIER, cmeans, distinct_values, fuzzy_entropy, nearest_frame, partition, partition_coefficient, rl_cmeans, silhouette, three_clusters_frame
 from fuzzloom.operators.kernel import infer, trace
 from fuzzloom.operators.learn import Rules, discrete_concepts, feature_types, inner_relations, learn, weigh
 from fuzzloom.operators.merge import merge_frames
-from fuzzloom.scratch import shared_dir
-from fuzzloom.sources.datasets import factorize, factorize_some, load_arff, split_plain, summary
+from fuzzloom.scratch import place
+from fuzzloom.sources.datasets import factorize, factorize_some, load_arff, load_csv_dataset, load_dataset, split_plain, summary
 from fuzzloom.streaming.scoring import drain, read_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,13 +79,14 @@ def fuzzyfication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _table(spark, sf_dir, "lineitem").select("l_quantity").distinct()
-    ends = x.agg(F.abs(F.min("l_quantity")).alias("low"), F.max("l_quantity").alias("high"))
-    return x.join(F.broadcast(ends)).select("l_quantity", F.round((F.col("l_quantity") + F.col("low")) / (F.col("low") + F.col("high")), 9).alias("scaled"))
+    """The points of a fuzzy set over the sizes of parts, scaled; its points are sorted whatever their order."""
+    sizes = [float(r[0]) for r in _table(spark, sf_dir, "part").select("p_size").distinct().collect()]
+    points = FuzzySet.of(sizes, sizes)
+    return spark.createDataFrame(list(zip(points.values, points.scaled().values, strict=True)), "p_size double, scaled double").select("p_size", F.round("scaled", 9).alias("scaled"))
 
 
-def _line_sql(v: str, s: FuzzySet) -> str:
-    x, y = s.values, s.membership
+def _line_sql(v: str, s: FuzzySet | None, x=None, y=None) -> str:
+    x, y = x or s.values, y or s.membership
     parts = [f"WHEN {v} <= {x[0]}::DOUBLE THEN {y[0]}::DOUBLE"]
     parts += [f"WHEN {v} <= {x[k]}::DOUBLE THEN {y[k - 1]}::DOUBLE + ({v} - {x[k - 1]}::DOUBLE) * ({y[k]}::DOUBLE - {y[k - 1]}::DOUBLE) / ({x[k]}::DOUBLE - {x[k - 1]}::DOUBLE)" for k in range(1, len(x))]
     return f"CASE {' '.join(parts)} ELSE {y[-1]}::DOUBLE END"
@@ -194,22 +195,37 @@ def load_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations written as an ARFF file and loaded again."""
-    from uuid import uuid4
-
-    nations = _table(spark, sf_dir, "nation")
     quoted = F.concat(F.lit("'"), F.col("n_name"), F.lit("'"))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.concat_ws(",", "n_nationkey", quoted, "n_regionkey").alias("value"))
     head = ["% nations", "@RELATION nation", "@ATTRIBUTE key INTEGER", "@attribute 'the name' string", "@attribute region {0,1,2,3,4}", "", "@DATA"]
-    lines = spark.createDataFrame([(h,) for h in head], "value string").unionByName(nations.select(F.concat_ws(",", "n_nationkey", quoted, "n_regionkey").alias("value")))
-    path = f"{shared_dir(spark)}/nation-{uuid4().hex}.arff"
-    # One file, as its header has an order.
-    lines.coalesce(1).write.text(path)
-    return load_arff(spark, path).withColumnRenamed("the name", "name")
+    return load_arff(spark, _text_file(spark, head, rows, "arff")).withColumnRenamed("the name", "name")
 
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(_table(spark, sf_dir, "learning_rows"))
 
 
+def _text_file(spark: SparkSession, lines: list[str], rows: DataFrame, kind: str) -> str:
+    """The lines, then the rows in order, as one file in the shared folder."""
+    path = place(spark, f"file.{kind}")
+    head = spark.createDataFrame([(-len(lines) + i, line) for i, line in enumerate(lines)], "at long, value string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a header, repeated lines, a line that repeats the header and lines of another length, as codes by first appearance."""
+    rows = _table(spark, sf_dir, "nation").select((100 - F.col("n_nationkey")).cast("long").alias("at"), F.concat_ws(",", "n_name", F.concat(F.lit("region "), "n_regionkey")).alias("value"))
+    more = spark.createDataFrame([(200, "name,region"), (201, "too,long,line"), (202, "short"), (203, "name,region")], "at long, value string")
+    return load_csv_dataset(spark, _text_file(spark, ["name,region", "x,y,z"], rows.unionByName(rows).unionByName(more), "csv"), True)
+
+
+def load_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose columns get types, repeated rows once, text and few whole numbers as codes."""
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("at"), F.concat_ws(",", "n_nationkey", "n_regionkey", F.concat("n_regionkey", F.lit(".5"))).alias("value"))
+    return load_dataset(spark, _text_file(spark, ["key,region,half"], rows.unionByName(rows), "csv"), True)
+
+
 # --- inference
 
 ORDER_CONCEPTS = ["price", "urgent", "open", "late", "risk"]
@@ -251,6 +267,18 @@ def normalized_map() -> CognitiveMap:
     return order_map(activation="sigmoid").set_concept("risk", kind="FUZZY", fuzzy=RISK)
 
 
+def edited_map() -> CognitiveMap:
+    """A map whose concepts take defaults, whose functions are changed afterwards and whose values are cleared and set."""
+    m = CognitiveMap(Settings(max_iter=STEPS, extra_steps=2, stabilize=False, decision="MEAN", memory=False, decision_window="full")).set_defaults(memory=True, kind="DECISION")
+    for c in ORDER_CONCEPTS:
+        m = m.add_concept(c).init_concept(c, 0.9)
+    for a in ORDER_ARCS:
+        m = m.add_relation(*a)
+    m = m.set_activation("sigmoid", lambda_val=1.0).set_decision("LAST").cleared().init_concept("late", 0.25).init_concept("nowhere", 1.0, required=False)
+    out = dict(m.outgoing("late"))
+    return m.init_concept("risk", m.value("late") + out["risk"]).set_concept("open", memory=False)
+
+
 def _sums(m: CognitiveMap) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = infer(_table(spark, sf_dir, "orders"), m, order_inputs(), ["o_orderstatus"], {c: c for c in ORDER_CONCEPTS})
@@ -259,7 +287,7 @@ def _sums(m: CognitiveMap) -> Query:
     return query
 
 
-def _recursion(m: CognitiveMap, steps: int) -> str:
+def _recursion(m: CognitiveMap, steps: int, begin: dict[str, str] | None = None) -> str:
     """Common table expressions that end with r(n, key, concept, v): all states of all orders, by recursion over the steps."""
     active = {c.name: c.active for c in m.concepts}
     arcs = [(o, d, w) for o, d, w in m.relations if active[o]] + [(c.name, c.name, 1.0 if m.uses_memory(c) else 0.0) for c in m.concepts]
@@ -271,11 +299,12 @@ def _recursion(m: CognitiveMap, steps: int) -> str:
     out = act.format(s=total)
     for c in m.concepts:
         if c.fuzzy is not None:
-            s = c.fuzzy.scaled()
+            # RISK, scaled by hand: from 0 to 4.
+            x, y = (0.0, 0.25, 0.5, 1.0), (0.1, 0.5, 1.0, 0.3)
             mean = f"({total} / {m.incoming_sum(c.name)!r}::DOUBLE)"
-            fuzzy = f"CASE WHEN {mean} < 0 THEN -(1 - ({_line_sql(f'abs({mean})', s)})) ELSE {_line_sql(mean, s)} END"
+            fuzzy = f"CASE WHEN {mean} < 0 THEN -(1 - ({_line_sql(f'abs({mean})', None, x, y)})) ELSE {_line_sql(mean, None, x, y)} END"
             out = f"CASE WHEN destiny = '{c.name}' THEN {fuzzy} ELSE {out} END"
-    start = " UNION ALL ".join(f"SELECT o_orderkey AS key, '{c.name}' AS concept, {_IN_SQL.get(c.name, '0.0::DOUBLE')} AS v FROM orders" for c in m.concepts)
+    start = " UNION ALL ".join(f"SELECT o_orderkey AS key, '{c.name}' AS concept, {(_IN_SQL | (begin or {})).get(c.name, '0.0::DOUBLE')} AS v FROM orders" for c in m.concepts)
     return f"""arcs(origin, destiny, w) AS (VALUES {values}),
 r(n, key, concept, v) AS (
   SELECT 0, key, concept, v FROM ({start})
@@ -283,9 +312,15 @@ r(n, key, concept, v) AS (
 )"""
 
 
-def _sums_sql(m: CognitiveMap) -> str:
+def infer_matrix_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrix mode with a wider threshold, so that orders stop on their own at different steps."""
+    out = infer(_table(spark, sf_dir, "orders"), matrix_map(stability_diff=0.02, max_iter=40), order_inputs(), ["o_orderkey"], {"risk": "risk", "late": "late"})
+    return out.select("o_orderkey", F.round("risk", 7).alias("risk"), F.round("late", 7).alias("late"))
+
+
+def _sums_sql(m: CognitiveMap, begin: dict[str, str] | None = None) -> str:
     cols = ", ".join(f"round(sum(v) FILTER (WHERE concept = '{c}'), 5) AS \"{c}\"" for c in ORDER_CONCEPTS)
-    return f"WITH RECURSIVE {_recursion(m, STEPS)} SELECT o_orderstatus, count(DISTINCT o_orderkey) AS n, {cols} FROM r JOIN orders ON key = o_orderkey WHERE r.n = {STEPS} GROUP BY 1"
+    return f"WITH RECURSIVE {_recursion(m, STEPS, begin)} SELECT o_orderstatus, count(DISTINCT o_orderkey) AS n, {cols} FROM r JOIN orders ON key = o_orderkey WHERE r.n = {STEPS} GROUP BY 1"
 
 
 STABLE = Settings(max_iter=30, extra_steps=3, stability_diff=0.02, memory=True)
@@ -356,9 +391,28 @@ def map_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.unionByName(arcs)
 
 
+def matrix_map(**settings) -> CognitiveMap:
+    return replace(order_map(memory=True), settings=Settings(mode="matrix", memory=True, **settings))
+
+
+def _matrix_sql(cte: str, s: Settings) -> str:
+    """Decided values d(key, concept, v) of the states r(n, key, concept, v) by the rules of matrix mode, decision MEAN.
+
+    s is the first step that begins extra_steps steps in which the sum over concepts moves by less than the threshold; at most
+    max_iter - 1 states are kept.
+    """
+    e, most = s.extra_steps, s.max_iter - 1
+    return f"""{cte},
+total AS (SELECT n, key, sum(v) AS v FROM r GROUP BY n, key),
+flat AS (SELECT n, key, (abs(v - lag(v) OVER (PARTITION BY key ORDER BY n)) < {s.stability_diff}::DOUBLE)::INT AS ok FROM total),
+runs AS (SELECT n, key, sum(ok) OVER (PARTITION BY key ORDER BY n ROWS BETWEEN CURRENT ROW AND {e - 1} FOLLOWING) AS ok FROM flat),
+stop AS (SELECT key, least(coalesce(min(n) FILTER (WHERE ok = {e}) + {e}, {most}), {most}) AS states FROM runs GROUP BY key),
+d AS (SELECT r.key, concept, avg(v) FILTER (WHERE n <= CASE WHEN states - {e + 1} > 0 THEN states - {e + 1} ELSE states - 1 END) AS v FROM r JOIN stop ON r.key = stop.key GROUP BY r.key, concept)"""
+
+
 def infer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix mode over the same orders, with its own rules of stopping."""
-    m = replace(order_map(memory=True), settings=Settings(mode="matrix", memory=True))
+    m = matrix_map()
     out = infer(_table(spark, sf_dir, "orders"), m, order_inputs(), ["o_orderstatus"], {c: c for c in ORDER_CONCEPTS})
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 5).alias(c) for c in ORDER_CONCEPTS])
 
@@ -381,6 +435,20 @@ def score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.avg((F.col("o_orderstatus") == F.col("predicted_o_orderstatus")).cast("double")).alias("accuracy"))
 
 
+def predict_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit over discrete features only, and what it predicts for each order."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    fitted = _estimator().fit(rows, ["o_orderstatus"], ["o_orderpriority"])
+    return fitted.predict(rows, ["o_orderkey", "o_orderstatus"])
+
+
+def score_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimator's own score, and the share of orders for each predicted class."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    fitted = _estimator().fit(rows, ["o_orderstatus"], ["o_orderpriority"])
+    return spark.createDataFrame([(round(fitted.score(rows), 9),)], "accuracy double")
+
+
 def fit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations that a fit over discrete features gives, exclusions included."""
     learned = learn(_table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderstatus"], Rules("conf"))
@@ -397,8 +465,8 @@ def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cell = rows.groupBy("map_no", "p", "q").agg(F.count("*").cast("double").alias("g"))
     total = cell.groupBy("map_no").agg(F.sum("g").alias("n"))
     side = lambda c: cell.groupBy("map_no", F.col(c).alias("concept")).agg(F.sum("g").alias("m"))
-    # One concept is known to one map only.
-    concepts = side("p").filter("NOT (concept = '5-LOW' AND map_no <> 'F')").unionByName(side("q")).join(total, "map_no").select("map_no", "concept", (F.col("m") / F.col("n")).alias("value"))
+    # One concept is known to one map only, and one is 0 in a map.
+    concepts = side("p").filter("NOT (concept = '5-LOW' AND map_no <> 'F')").unionByName(side("q")).join(total, "map_no").select("map_no", "concept", F.when((F.col("concept") == "Q1") & (F.col("map_no") == "F"), 0.0).otherwise(F.col("m") / F.col("n")).alias("value"))
     arcs = cell.join(side("p").withColumnRenamed("concept", "p"), ["map_no", "p"]).select("map_no", F.col("p").alias("origin"), F.col("q").alias("destiny"), (F.col("g") / F.col("m")).alias("weight"))
     return concepts, arcs
 
@@ -415,7 +483,7 @@ def _join_sql(concept: str, value: str, relation: str, zeros: bool = False) -> s
     having = "HAVING count(DISTINCT map_no) = (SELECT count(DISTINCT map_no) FROM concepts)" if concept == "intersection" else ""
     return f"""WITH cell AS (SELECT o_orderstatus AS map_no, o_orderpriority AS p, 'Q' || quarter(o_orderdate) AS q, count(*)::DOUBLE AS g FROM orders GROUP BY 1, 2, 3),
 total AS (SELECT map_no, sum(g) AS n FROM cell GROUP BY 1), pm AS (SELECT map_no, p, sum(g) AS m FROM cell GROUP BY 1, 2), qm AS (SELECT map_no, q, sum(g) AS m FROM cell GROUP BY 1, 2),
-concepts AS (SELECT map_no, p AS concept, m / n AS v FROM pm JOIN total USING (map_no) WHERE NOT (p = '5-LOW' AND map_no <> 'F') UNION ALL SELECT map_no, q, m / n FROM qm JOIN total USING (map_no)),
+concepts AS (SELECT map_no, p AS concept, m / n AS v FROM pm JOIN total USING (map_no) WHERE NOT (p = '5-LOW' AND map_no <> 'F') UNION ALL SELECT map_no, q, CASE WHEN q = 'Q1' AND map_no = 'F' THEN 0.0 ELSE m / n END FROM qm JOIN total USING (map_no)),
 merged AS (SELECT concept, {value}(v) AS v FROM concepts GROUP BY 1 {having}), kept AS (SELECT * FROM merged {'WHERE v <> 0' if zeros else ''}),
 arcs AS (SELECT p, q, {relation}(g / m) AS w FROM cell JOIN pm USING (map_no, p) WHERE p IN (SELECT concept FROM kept) AND q IN (SELECT concept FROM kept) GROUP BY 1, 2)
 SELECT concept AS origin, '' AS destiny, round(v, 9) AS weight FROM kept UNION ALL SELECT p, q, round(w, 9) FROM arcs"""
@@ -447,8 +515,28 @@ CENTRES = (5.0, 18.0, 31.0, 47.0)
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    far = [F.struct(F.abs(F.col("l_quantity") - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(CENTRES)]
-    return _table(spark, sf_dir, "lineitem").groupBy(F.least(*far)["i"].alias("cluster")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+    placed = nearest_frame(_table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity", np.array(CENTRES))
+    return placed.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+#: Steps of ``cmeans_run``, none left out.
+CMEANS_STEPS = 12
+
+
+def cmeans_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, cluster, membership) of the sizes of parts after a fixed number of c-means steps from a fixed start."""
+    x = distinct_values(_table(spark, sf_dir, "part"), "p_size")
+    u, _ = cmeans(x, len(CENTRES), error=0.0, max_iter=CMEANS_STEPS + 1, start=np.abs(np.array(CENTRES)[:, None] - x[None, :]))
+    c, v = np.meshgrid(np.arange(len(u)), x, indexing="ij")
+    return spark.createDataFrame(pa.table({"value": v.ravel(), "cluster": c.ravel().astype(np.int32), "membership": np.round(u.ravel(), 7)}))
+
+
+def cluster_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette, entropy index and partition coefficient of the sizes of parts around fixed centres."""
+    x, centres = distinct_values(_table(spark, sf_dir, "part"), "p_size"), np.array(CENTRES) + 0.25
+    u = memberships(x, centres, FUZZIFIER)
+    row = tuple(round(float(v), 7) for v in (silhouette(x, u), fuzzy_entropy(x, u, centres), partition_coefficient(u)))
+    return spark.createDataFrame([row], "silhouette double, entropy double, coefficient double")
 
 
 # --- streaming
@@ -472,6 +560,8 @@ def queries() -> dict[str, Query]:
     out |= {"inner_relations": inner, "feature_types": types_of, "factorize": factorize_lang, "factorize_cond": factorize_cond, "dedup": dedup, "load_plain": load_plain, "load_arff": _arff, "dataset_summary": dataset_summary}
     out |= {"infer_kosko": _sums(order_map()), "infer_memory": _sums(order_map(memory=True)), "infer_papageorgius": _sums(papageorgius_map()), "infer_inactive": _sums(inactive_map()), "infer_normalized": _sums(normalized_map()), "infer_matrix": infer_matrix}
     out |= {"stability_step": stability_step, "decision_last": _decision("LAST"), "decision_mean": _decision("MEAN"), "decision_exited": _decision("EXITED"), "final_state_filter": final_state_filter, "trajectory": trajectory, "topology": topology, "map_json": map_json}
+    out |= {"infer_matrix_stops": infer_matrix_stops, "infer_edited": _sums(edited_map()), "load_csv": load_csv, "load_typed": load_typed}
+    out |= {"predict_discrete": predict_discrete, "score_discrete": score_discrete, "cmeans_run": cmeans_run, "cluster_indices": cluster_indices}
     out |= {"predict_orders": predict_orders, "score_orders": score_orders, "fit_orders": fit_orders}
     out |= {"join_union_avg": _join("union", "average", "average"), "join_intersect_max": _join("intersection", "highest", "highest"), "join_min_nozero": _join("union", "lowest", "lowest", True)}
     out |= {"cmeans_gap": _cmeans("cmeans-gap"), "cmeans_sil": _cmeans("cmeans-sil"), "cmeans_cfe": _cmeans("cmeans-cfe"), "rl_cmeans": rl_cmeans_centres, "three_clusters": three, "nearest_centroid": nearest_centroid, "stream_scores": stream_scores}
@@ -492,7 +582,7 @@ def oracle_sql() -> dict[str, str]:
     s = "((p_retailprice - 800.0::DOUBLE) / 1500.0::DOUBLE)"
     within = f"CASE WHEN {s} < 0.1::DOUBLE THEN 0.2::DOUBLE WHEN {s} > 0.9::DOUBLE THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_line_sql(s, UNIT)})) END"
     out["fuzzyfication"] = f"SELECT p_brand, round(sum({within}), 6) AS total FROM part GROUP BY 1"
-    out["fuzzy_scale"] = "WITH e AS (SELECT abs(min(l_quantity)) AS lo, max(l_quantity) AS hi FROM lineitem) SELECT DISTINCT l_quantity, round((l_quantity + lo) / (lo + hi), 9) AS scaled FROM lineitem, e"
+    out["fuzzy_scale"] = "WITH e AS (SELECT abs(min(p_size)) AS lo, max(p_size) AS hi FROM part) SELECT DISTINCT p_size::DOUBLE AS p_size, round((p_size + lo)::DOUBLE / (lo + hi), 9) AS scaled FROM part, e"
     w = f"WITH {_COUNTS}, w AS (SELECT concept_p AS origin, concept_q AS destiny, {_CONF} AS weight, p_q / {_N} AS e, p_target, q_target, CASE WHEN p_q + np_q = 0 THEN 0.0 ELSE p_q / (p_q + np_q) END AS back, {_MEASURE_SQL['lift']} AS l FROM pairs)"
     cols = "SELECT origin, destiny, round(weight, 9) AS weight FROM w WHERE weight <> 0 AND e > "
     out["relation_threshold"] = f"{w} {cols} 0.0667::DOUBLE"
@@ -520,6 +610,12 @@ SELECT p_partkey, CASE WHEN yes THEN s.code ELSE p_size END AS p_size, b.code AS
     out["dataset_summary"] = "SELECT 8::INT AS n_features, count(*) AS n_rows, 'class' AS target, count(DISTINCT \"class\") AS n_classes FROM learning_rows"
     for name, m in {"kosko": order_map(), "memory": order_map(memory=True), "papageorgius": papageorgius_map(), "inactive": inactive_map(), "normalized": normalized_map()}.items():
         out[f"infer_{name}"] = _sums_sql(m)
+    out["infer_edited"] = _sums_sql(edited_map(), {"late": "0.25::DOUBLE", "risk": "1.05::DOUBLE"})
+    whole = Settings(mode="matrix", memory=True)
+    sums = ", ".join(f"round(sum(v) FILTER (WHERE concept = '{c}'), 5) AS \"{c}\"" for c in ORDER_CONCEPTS)
+    out["infer_matrix"] = f"WITH RECURSIVE {_matrix_sql(_recursion(order_map(memory=True), whole.max_iter - 2), whole)} SELECT o_orderstatus, count(DISTINCT o_orderkey) AS n, {sums} FROM d JOIN orders ON key = o_orderkey GROUP BY 1"
+    short = Settings(mode="matrix", memory=True, stability_diff=0.02, max_iter=40)
+    out["infer_matrix_stops"] = f"WITH RECURSIVE {_matrix_sql(_recursion(order_map(memory=True), short.max_iter - 2), short)} SELECT key AS o_orderkey, round(max(v) FILTER (WHERE concept = 'risk'), 7) AS risk, round(max(v) FILTER (WHERE concept = 'late'), 7) AS late FROM d GROUP BY key"
     out["stability_step"] = f"WITH RECURSIVE {_recursion(stable_map(), _LONG)}, {_STOP} SELECT s + {STABLE.extra_steps} AS states, count(*) AS n FROM stop GROUP BY 1"
     out |= {f"decision_{n.lower()}": _decision_sql(n) for n in ("LAST", "MEAN", "EXITED")}
     base = _recursion(order_map(), STEPS)
@@ -531,9 +627,49 @@ SELECT p_partkey, CASE WHEN yes THEN s.code ELSE p_size END AS p_size, b.code AS
 UNION ALL SELECT c, k, a, NULL, NULL FROM (VALUES {", ".join(f"('{c.name}', '{c.kind}', '{'fuzzy' if c.fuzzy else 'sigmoid'}')" for c in normalized_map().concepts)}) t(c, k, a)"""
     exclusive = " UNION ALL ".join(f"SELECT a.v || '___{c}', b.v || '___{c}', -1.0 FROM (SELECT DISTINCT {c} AS v FROM orders) a JOIN (SELECT DISTINCT {c} AS v FROM orders) b ON a.v <> b.v" for c in ("o_orderpriority", "o_orderstatus"))
     out["fit_orders"] = f"{w} {cols} 0 UNION ALL {exclusive}"
+    # The fitted map itself, run over the priorities, each of which is one start state.
+    fit = Settings(mode="matrix", max_iter=60)
+    learned = f"""{w}, link AS ({cols.replace('round(weight, 9)', 'weight')} 0 UNION ALL {exclusive}),
+names AS (SELECT DISTINCT origin AS c FROM link),
+arcs(origin, destiny, w) AS (SELECT origin, destiny, weight FROM link UNION ALL SELECT c, c, 1.0 FROM names),
+r(n, key, concept, v) AS (
+  SELECT 0, p, c, (c = p || '___o_orderpriority')::INT::DOUBLE FROM names, (SELECT DISTINCT o_orderpriority AS p FROM orders)
+  UNION ALL SELECT r.n + 1, r.key, destiny, (1 - exp(-2.0::DOUBLE * sum(v * arcs.w))) / (1 + exp(-2.0::DOUBLE * sum(v * arcs.w))) FROM r JOIN arcs ON origin = r.concept WHERE r.n < {fit.max_iter - 2} GROUP BY r.n, r.key, destiny
+)""".replace("WITH", "WITH RECURSIVE", 1)
+    predicted = f"{_matrix_sql(learned, fit)}, best AS (SELECT key, arg_max(replace(concept, '___o_orderstatus', ''), v) AS predicted FROM d WHERE concept LIKE '%o_orderstatus' GROUP BY key)"
+    out["predict_discrete"] = f"{predicted} SELECT o_orderkey, o_orderstatus, predicted AS predicted_o_orderstatus FROM orders JOIN best ON key = o_orderpriority"
+    out["score_discrete"] = f"{predicted} SELECT round(avg((predicted = o_orderstatus)::INT), 9) AS accuracy FROM orders JOIN best ON key = o_orderpriority"
+    first = "row_number() OVER (ORDER BY min(place)) - 1"
+    out["load_csv"] = f"""WITH f AS (SELECT n_name AS name, 'region ' || n_regionkey AS region, 100 - n_nationkey AS place FROM nation UNION ALL SELECT 'name', 'region', 200),
+a AS (SELECT name, {first} AS code FROM f GROUP BY name), b AS (SELECT region, {first} AS code FROM f GROUP BY region)
+SELECT DISTINCT a.code AS name, b.code AS region FROM f JOIN a USING (name) JOIN b USING (region)"""
+    out["load_typed"] = "SELECT n_nationkey::INT AS key, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS region, n_regionkey + 0.5::DOUBLE AS half FROM nation"
     out |= {"join_union_avg": _join_sql("union", "avg", "avg"), "join_intersect_max": _join_sql("intersection", "max", "max"), "join_min_nozero": _join_sql("union", "min", "min", True)}
-    out["three_clusters"] = """WITH v AS (SELECT value, (row_number() OVER (ORDER BY value) - 1) / greatest((count(*) OVER () - 1) / 2.0::DOUBLE, 1.0) AS r FROM (SELECT DISTINCT l_quantity AS value FROM lineitem))
+    out["three_clusters"] = """WITH d AS (SELECT DISTINCT l_quantity::DOUBLE AS x FROM lineitem), o AS (SELECT x, row_number() OVER (ORDER BY x) AS k, count(*) OVER () AS n FROM d),
+-- An even number of values gets one between the two in the middle.
+all_x AS (SELECT x FROM o UNION ALL SELECT avg(x) FROM o WHERE n % 2 = 0 AND k IN (n // 2, n // 2 + 1) HAVING count(*) = 2),
+v AS (SELECT x AS value, (row_number() OVER (ORDER BY x) - 1) / greatest((count(*) OVER () - 1) / 2.0::DOUBLE, 1.0) AS r FROM all_x)
 SELECT value, round(greatest(0, 1 - r), 9) AS low, round(1 - abs(r - 1), 9) AS middle, round(greatest(0, r - 1), 9) AS high FROM v"""
+    starts = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(CENTRES))
+    near = "pow(greatest(abs(x - c), 2.220446049250313e-16::DOUBLE), -2 / 1.5::DOUBLE)"
+    out["cmeans_run"] = f"""WITH RECURSIVE v AS (SELECT DISTINCT p_size::DOUBLE AS x FROM part), s(k, c) AS (VALUES {starts}),
+u0 AS (SELECT k, x, abs(x - c) / sum(abs(x - c)) OVER (PARTITION BY x) AS u FROM v, s),
+r(n, k, c) AS (
+  SELECT 1, k, sum(pow(u, 2.5) * x) / sum(pow(u, 2.5)) FROM u0 GROUP BY k
+  UNION ALL SELECT n + 1, k, sum(pow(u, 2.5) * x) / sum(pow(u, 2.5)) FROM (SELECT n, k, x, {near} / sum({near}) OVER (PARTITION BY x) AS u FROM r, v WHERE n < {CMEANS_STEPS}) GROUP BY n, k
+)
+SELECT x AS value, k::INT AS cluster, round({near} / sum({near}) OVER (PARTITION BY x), 7) AS membership FROM r, v WHERE n = {CMEANS_STEPS}"""
+    shifted = ", ".join(f"({i}, {c + 0.25}::DOUBLE)" for i, c in enumerate(CENTRES))
+    out["cluster_indices"] = f"""WITH v AS (SELECT DISTINCT p_size::DOUBLE AS x FROM part), s(k, c) AS (VALUES {shifted}), n AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mid FROM v),
+u AS (SELECT k, c, x, {near} / sum({near}) OVER (PARTITION BY x) AS u FROM v, s),
+far AS (SELECT a.x, a.k, any_value(a.u) AS u, sum(b.u * abs(a.x - b.x)) / (any_value(n) - 1) AS d FROM u a JOIN u b ON a.k = b.k CROSS JOIN n GROUP BY a.x, a.k),
+two AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY u DESC, k) AS place FROM far),
+sil AS (SELECT pow(max(u) FILTER (WHERE place = 1) - max(u) FILTER (WHERE place = 2), 2) AS w, max(d) FILTER (WHERE place = 1) AS a, max(d) FILTER (WHERE place = 2) AS b FROM two WHERE place < 3 GROUP BY x),
+own AS (SELECT avg(h) AS h FROM (SELECT -sum(u * log2(u) + (1 - u) * log2(1 - u)) / any_value(n) AS h FROM u, n GROUP BY k)),
+crossed AS (SELECT 2 * sum(a.u * log2(a.u / ((a.u + b.u) / 2)) + (1 - a.u) * log2((1 - a.u) / (1 - (a.u + b.u) / 2))) AS h FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k),
+spread AS (SELECT sum(w) AS within, sum(b) AS between_ FROM (SELECT sum(u) * sum(pow(x - c, 2)) AS w, sum(u) * pow(any_value(c) - any_value(mid), 2) AS b FROM u, n GROUP BY k))
+SELECT round((SELECT sum(w * (b - a) / greatest(a, b)) / sum(w) FROM sil), 7) AS silhouette,
+  round((crossed.h * 2 / 12 / own.h + between_ / 3 * (n - 4) / within) / 2, 7) AS entropy, round((SELECT sum(u * u) FROM u) / n, 7) AS coefficient FROM own, crossed, spread, n"""
     far = ", ".join(f"abs(l_quantity - {c}::DOUBLE)" for c in CENTRES)
     out["nearest_centroid"] = f"SELECT (list_position([{far}], list_min([{far}])) - 1)::INT AS cluster, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1"
     logistic = "1 / (1 + exp(-({0})))"

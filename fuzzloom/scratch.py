@@ -37,13 +37,20 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/fuzzloom-{uuid.uuid4().hex}-{label}"
+    fs, jpath = _fs(spark, path)
+    fs.deleteOnExit(jpath)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back. The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fuzzloom-{uuid.uuid4().hex}-{label}"
+    path = place(spark, label)
     df.write.parquet(path)
-    fs, jpath = _fs(spark, path)
-    fs.deleteOnExit(jpath)
+    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
     back = spark.read.schema(df.schema).parquet(path)
     back._fuzzloom_path = path
     return back

@@ -25,14 +25,21 @@ def split_plain(lines: DataFrame, columns: list[str], text: str = "value", separ
 def load_csv_dataset(spark: SparkSession, path: str, factorize_columns: bool = False) -> DataFrame:
     """A comma-separated file with a header as text columns; lines of another length are left out and repeated rows count once.
 
-    With ``factorize_columns`` every column becomes codes, in the order in which values first appear in the sorted rows.
+    With ``factorize_columns`` every column becomes codes, in the order in which values first appear in the file. Of a folder the
+    first line of its first file is the header.
     """
-    lines = spark.read.text(path)
-    header = lines.first()
-    if header is None:
+    # A line's place: its split of the file, and its number in the task that reads the split.
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select("value", place.alias("_at"))
+    top = lines.agg(F.min_by("value", "_at").alias("header"), F.min("_at").alias("_at")).first()
+    if top.header is None:
         raise ValueError(f"{path} is empty")
-    rows, _ = split_plain(lines.filter(F.col("value") != header.value), header.value.split(","))
-    return factorize(rows, rows.columns, rows.columns) if factorize_columns else rows
+    columns = top.header.split(",")
+    parts = F.split(F.col("value"), ",", -1)
+    first = F.struct(*[F.lit(v).alias(k) for k, v in top["_at"].asDict().items()])
+    fits = lines.filter((F.size(parts) == len(columns)) & (F.col("_at") != first)).select(*[parts[i].alias(c) for i, c in enumerate(columns)], "_at")
+    rows = fits.groupBy(*columns).agg(F.min("_at").alias("_at"))
+    return (factorize(rows, columns, ["_at"]) if factorize_columns else rows).drop("_at")
 
 
 _ATTRIBUTE = re.compile(r"\s*@attribute\s+('(?:[^'\\]|\\.)*'|\"[^\"]*\"|\S+)\s+(.+?)\s*$", re.IGNORECASE)

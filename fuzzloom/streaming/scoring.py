@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from fuzzloom.model import CognitiveMap
 from fuzzloom.operators.kernel import infer
-from fuzzloom.scratch import shared_dir
+from fuzzloom.scratch import place
 
 
 def score_stream(stream: DataFrame, m: CognitiveMap, inputs: dict[str, str | Column], keep: list[str], outputs: dict[str, str]) -> DataFrame:
@@ -19,13 +19,11 @@ def score_stream(stream: DataFrame, m: CognitiveMap, inputs: dict[str, str | Col
 
 def drain(scored: DataFrame, label: str) -> DataFrame:
     """All that the source holds now, written exactly once as Parquet under the shared folder and read back."""
-    import uuid
-
     spark = scored.sparkSession
-    place = f"{shared_dir(spark)}/stream-{label}-{uuid.uuid4().hex}"
-    query = scored.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    here = place(spark, f"stream-{label}")
+    query = scored.writeStream.format("parquet").option("path", f"{here}/out").option("checkpointLocation", f"{here}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(scored.schema).parquet(f"{place}/out")
+    return spark.read.schema(scored.schema).parquet(f"{here}/out")
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

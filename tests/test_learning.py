@@ -10,7 +10,7 @@ from fuzzloom.functions.measures import MEASURES, measure
 from fuzzloom.model import CognitiveMap, Settings, from_json, to_json
 from fuzzloom.operators import discretize as D
 from fuzzloom.operators.contingency import contingency_frame, discrete_pair, memberships_contingency
-from fuzzloom.operators.learn import Rules, feature_types, learn
+from fuzzloom.operators.learn import Rules, feature_types, learn, observed
 from fuzzloom.operators.merge import join_maps
 from fuzzloom.sources import datasets as S
 
@@ -212,3 +212,41 @@ def test_sources(spark, tmp_path):
     assert [r.v for r in S.factorize(df, ["v"], ["o"]).orderBy("o").collect()] == [0, -1, 1, 0]
     assert S.as_frame(spark, {"a": [1, 2], "b": ["x", "y"]}).columns == ["a", "b"]
     assert S.as_frame(spark, np.array([[1.0, 2.0]]), offset=3).columns == ["3", "4"] and S.as_frame(spark, [1, 2]).count() == 2
+
+
+def test_observed_values_are_bounded(spark):
+    rows = [(i, f"t{i % 40}", i % 9, i % 10, i / 7, i % 2 == 0, None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, t string, few int, more int, x double, b boolean, nothing string").repartition(3)
+    kinds, values = observed(df, ["t", "few", "more", "x", "b", "nothing"])
+    assert kinds == {"t": "discrete", "few": "discrete", "more": "continuous", "x": "continuous", "b": "discrete", "nothing": "discrete"}
+    assert values == {"t": sorted(f"t{i}" for i in range(40)), "few": list(range(9)), "b": [False, True], "nothing": []}
+    assert observed(df, ["few", "t"], infer=False)[0] == {"few": "continuous", "t": "discrete"}
+    with pytest.raises(ValueError, match="column t has more than 39 values"):
+        observed(df, ["few", "t"], most=39)
+
+
+def test_csv_codes_follow_the_file(spark, tmp_path):
+    lines = ["a,b"] + [f"v{k % 700},{(k * 13) % 5}" for k in range(3000, 0, -1)] + ["a,b", "a,b", "x"]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    seen: dict = {}
+    rows = dict.fromkeys(tuple(x.split(",")) for x in lines[1:] if x.count(",") == 1)
+    want = [tuple(seen.setdefault((i, v), len([k for k in seen if k[0] == i])) for i, v in enumerate(r)) for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = S.load_csv_dataset(spark, str(tmp_path / "big.csv"), True)
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 1 and sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_nearest_and_three_clusters_as_tables(spark):
+    df = spark.createDataFrame([(1.0, "a"), (4.0, "b"), (None, "c"), (float("nan"), "d"), (9.0, "e"), (2.5, "f")], "x double, cluster_name string")
+    got = {r.cluster_name: r.cluster for r in D.nearest_frame(df, "x", np.array([1.0, 4.0])).collect()}
+    assert got == {"a": 0, "b": 1, "c": None, "d": None, "e": 1, "f": 0}
+    for values in ([1.0, 2.0, 5.0, 9.0], [1.0, 2.0, 5.0], [3.0], []):
+        frame = D.three_clusters_frame(spark.createDataFrame([(v,) for v in [*values, *values]] + [(None,)], "v double"), "v").orderBy("value").collect()
+        if values:
+            x, u = D.three_clusters(np.array(values))
+            assert [tuple(r) for r in frame] == [tuple(map(float, r)) for r in zip(x, *u, strict=True)]
+        else:
+            assert frame == []
