@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fuzzloom.llm.clusters import _NO_NAME, cluster
 from fuzzloom.llm.cooccur import baskets, cooccurrence
 from fuzzloom.llm.leaks import leaks
-from fuzzloom.llm.reading import reading_levels
+from fuzzloom.llm.reading import blocks_of, ratings, reading_levels, word_grades
 from fuzzloom.llm.tokenizer import decode, encode
 from fuzzloom.scratch import join_small
 
@@ -80,8 +80,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
 
 
+def p8_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grade at which each word is acquired, as each fold of the documents is told it."""
+    grades = word_grades(blocks_of(_table(spark, sf_dir, "documents")), ratings(_table(spark, sf_dir, "reading_labels")))
+    return grades.select("word", F.posexplode("grades").alias("fold", "grade")).filter("grade IS NOT NULL").withColumn("grade", F.round("grade", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_grades": p8_grades}
 
 
 _ITEMS = """
@@ -116,12 +122,27 @@ c AS (SELECT b.ds, lo, hi, c AS n, (row_number() OVER (PARTITION BY b.ds ORDER B
 """
 
 
+_GRADES = r"""
+WITH votes AS (SELECT doc_id, reading_level AS k, count(DISTINCT coalesce(rater, '')) AS n FROM reading_labels WHERE doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 4 GROUP BY ALL),
+rated AS (SELECT doc_id, k, doc_id % 5 AS part FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS best FROM votes) WHERE best = 1),
+met AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower("text"), '[\p{L}\p{Nl}\p{No}]+')) AS word FROM documents),
+folds AS (SELECT unnest(range(5)) AS fold),
+size AS (SELECT fold, k, count(*) AS d FROM rated, folds WHERE part <> fold GROUP BY ALL),
+total AS (SELECT fold, sum(d) AS d FROM size GROUP BY ALL),
+n AS (SELECT word, fold, k, count(*) AS n FROM met JOIN rated USING (doc_id), folds WHERE part <> fold GROUP BY ALL),
+words AS (SELECT word, fold, sum(n) AS n FROM n GROUP BY ALL HAVING sum(n) >= 5),
+share AS (SELECT w.word, w.fold, l.k, coalesce(n.n * total.d / 4.0::DOUBLE / size.d, 0) + 0.5 AS s
+  FROM words w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) l JOIN total ON total.fold = w.fold LEFT JOIN size ON size.fold = w.fold AND size.k = l.k LEFT JOIN n ON n.word = w.word AND n.fold = w.fold AND n.k = l.k)
+SELECT word, fold::INT AS fold, round(sum(k * s) / sum(s), 9) AS grade FROM share GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _CUTS + "SELECT row_id, cluster_no FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi",
         "p5_clusters": _CUTS + """, m AS (SELECT s.ds, cluster_no, c.n, lo, hi, row_id, v, avg(v) OVER (PARTITION BY s.ds, cluster_no) AS mean FROM s JOIN c ON s.ds = c.ds AND v BETWEEN lo AND hi),
 r AS (SELECT *, row_number() OVER (PARTITION BY ds, cluster_no ORDER BY round(abs(v - mean), 6), row_id) AS k FROM m)
 SELECT nullif(ds, chr(1)) AS dataset_id, cluster_no, n, lo, hi, list(row_id ORDER BY k) AS typical_row_ids FROM r WHERE k <= 3 GROUP BY ALL""",
+        "p8_grades": _GRADES,
         "p6_decoded": "SELECT doc_id, coalesce(\"text\", '') AS \"text\" FROM documents",
         "p2_found": _ITEMS + "SELECT item_a, item_b FROM pairs WHERE n_both * 500 >= n_all AND n_both::HUGEINT * n_all >= 2 * n_a::HUGEINT * n_b",
         "p2_pairs": _ITEMS + "SELECT item_a, item_b, n_both, n_a, n_b, n_all, round(n_both::DOUBLE * n_all / n_a / n_b, 6) AS lift, round(log2(n_both::DOUBLE * n_all / n_a / n_b), 6) AS pmi FROM pairs",
