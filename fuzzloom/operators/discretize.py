@@ -21,6 +21,8 @@ from fuzzloom.scratch import materialize, release
 
 #: Distinct values that are clustered on the driver in any case, and cells that rl-cmeans takes at most.
 LARGEST = 4096
+#: Distinct values of which cmeans-gap takes its steps on the driver, 8 MB of them; with more it takes the same steps as sums in Spark.
+ON_DRIVER = 1 << 20
 #: Ranks of a curve that are looked at together.
 CHUNK = 1 << 20
 #: Fuzzifier of c-means.
@@ -349,7 +351,8 @@ def cmeans_sums(values: DataFrame, start: np.ndarray, m: float = FUZZIFIER, erro
 def column_sets(df: DataFrame, column: str, strategy: str = "cmeans-gap", most: int = 7, max_iter: int = 200, seed: int = 0) -> list[FuzzySet]:
     """The sets of ``partition`` over the distinct values of a column, in rising order.
 
-    With more than ``LARGEST`` values cmeans-gap takes sums over all of them in Spark, and its sets are computed from the centres.
+    With more than ``LARGEST`` values the sets of cmeans-gap are computed from the centres; with more than ``ON_DRIVER`` it takes
+    its steps as sums over all values in Spark.
     Clusters by rank, cmeans-sil and cmeans-cfe bring all distinct values to the driver. Only rl-cmeans, which is quadratic, takes
     the cells of ``distinct_values``.
     """
@@ -361,6 +364,14 @@ def column_sets(df: DataFrame, column: str, strategy: str = "cmeans-gap", most:
         return partition(distinct_values(df, column), strategy, most, max_iter, seed).sets()
     if strategy != "cmeans-gap":
         return partition(_sorted(x), strategy, most, max_iter, seed).sets()
+    if x.count() <= ON_DRIVER:
+        values = _sorted(x)
+        clusters, first = gap_start(values, min(most, len(values) // 2))
+        if clusters < 2:
+            return Partition(*three_clusters(values)).sets()
+        u, centre = cmeans(values, clusters, max_iter=max_iter, start=first)
+        centre = centre[np.argsort(u @ values / u.sum(axis=1), kind="stable")]
+        return [ClusterSet.around(centre, i, float(values[0]), float(values[-1]), FUZZIFIER) for i in range(len(centre))]
     ranked = _ranked(x)
     n, low, high = ranked.agg(F.count("*"), F.min("x"), F.max("x")).first()
     start = gap_centres(ranked, n, min(most, n // 2))

@@ -146,13 +146,16 @@ def test_all_distinct_values_shape_the_sets(spark, monkeypatch, strategy, shape)
     want = D.partition(x, strategy).sets()
     monkeypatch.setattr(D, "LARGEST", 64)
     monkeypatch.setattr(D, "CHUNK", 100)
-    m = learn(df, ["x"], ["class"], Rules("conf"), strategy=strategy).map
-    got = [c.fuzzy for c in m.concepts if c.fuzzy]
-    assert len(got) == len(want) >= 2
-    for g, w in zip(got, want, strict=True):
-        assert g.array(x) == pytest.approx(w.array(x), abs=1e-6)
-    back = [c.fuzzy for c in from_json(to_json(m)).concepts if c.fuzzy]
-    assert back == got
+    # Steps on the driver and as sums in Spark.
+    for on_driver in (D.ON_DRIVER, 64) if strategy == "cmeans-gap" else (64,):
+        monkeypatch.setattr(D, "ON_DRIVER", on_driver)
+        m = learn(df, ["x"], ["class"], Rules("conf"), strategy=strategy).map
+        got = [c.fuzzy for c in m.concepts if c.fuzzy]
+        assert len(got) == len(want) >= 2
+        for g, w in zip(got, want, strict=True):
+            assert g.array(x) == pytest.approx(w.array(x), abs=1e-6)
+        back = [c.fuzzy for c in from_json(to_json(m)).concepts if c.fuzzy]
+        assert back == got
 
 
 def test_set_from_centres_in_both_forms(spark):
