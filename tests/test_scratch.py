@@ -21,6 +21,19 @@ def test_join_small_in_both_forms(spark, monkeypatch, how):
     assert rows(few) == want and "_salt" in few._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_long_texts_are_not_broadcast(spark):
+    """Names that Parquet packs into little, though a broadcast would hold 160 MB of them."""
+    name = F.concat(F.expr("repeat('x', 200000)"), F.col("id").cast("string")).alias("k")
+    small = scratch.materialize(spark.range(400).select(name, (F.col("id") * 2).alias("w")), "long")
+    big = spark.range(30).select(name, "id")
+    assert scratch.table_bytes(small) < scratch.BROADCAST_BYTES
+    assert "_salt" in scratch.join_small(big, small, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    few = scratch.materialize(small.filter("w < 40"), "few")
+    got = scratch.join_small(big, few, ["k"])
+    assert "_salt" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.select("id", "w").collect()) == [(i, 2 * i) for i in range(20)]
+
+
 def test_spread_runs_nothing(spark):
     """Asking for more partitions mustn't run the shuffles before."""
     ran = spark.sparkContext.accumulator(0)
